@@ -38,7 +38,7 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.remove_repeats(documents(spark, sf_dir)).drop("kept_text", "spans")
+    return suffix.remove_repeats(documents(spark, sf_dir))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
