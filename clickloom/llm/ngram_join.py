@@ -346,7 +346,9 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     rest = buckets.select("sig", "e1").join(split, "sig").join(label, "e1").select("sig", "e1", "n", "hist", "component")
 
     more = rest.repartition(shuffles(docs.sparkSession), "sig").sortWithinPartitions("sig").mapInArrow(lambda batches: sweep(batches, scheme), "x long, y long")
-    more = written(more.distinct().join(star.select("x", "y"), ["x", "y"], "left_anti"), "sweep-pairs")
+    # written before the join: else the join is moved below distinct and gets each pair once per bucket
+    more = written(more.distinct(), "sweep-pairs").join(star.select("x", "y"), ["x", "y"], "left_anti")
+    more = written(more, "new-pairs")
     if not more.isEmpty():
         side = lambda p: reps.select(F.col("e1").alias(p), F.col("rep").alias(f"{p}_doc"))
         found = linked(more.join(side("x"), "x").join(side("y"), "y"), docs, words, percent)
