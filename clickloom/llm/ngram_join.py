@@ -278,10 +278,16 @@ def sweep(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa.Reco
         yield result(pairs(*held))
 
 
-def linked(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def candidate_texts(docs: DataFrame, need: DataFrame) -> DataFrame:
+    """Texts of the documents (doc_id) that some signature names, fetched once for all checks.
+
+    The join is a shuffle at every size; the small side is the one that is hashed.
+    """
+    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(need.distinct().hint("shuffle_hash"), "doc_id", "left_semi"), "candidate-texts")
+
+
+def linked(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Check candidate pairs on whole texts: u, v (documents)."""
-    need = pairs.select(F.col("x_doc").alias("doc_id")).union(pairs.select("y_doc")).distinct()
-    texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(need, "doc_id", "left_semi"), "candidate-texts")
     both = pairs.join(texts.select(F.col("doc_id").alias("y_doc"), F.col("text").alias("y_text")), "y_doc").join(texts.select(F.col("doc_id").alias("x_doc"), F.col("text").alias("x_text")), "x_doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,7 +343,8 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     features = rows.agg(F.sum("n")).first()[0] or 0
     buckets = written(buckets_of(docs, words, scheme, max(shuffles(docs.sparkSession), features // BUCKET)), "buckets")
     star = written(screened(buckets.where("e1 <> x").select("x", F.col("e1").alias("y")).distinct(), reps, scheme), "star-pairs")
-    links = connected(linked(star, docs, words, percent))
+    texts = candidate_texts(docs, reps.join(buckets.select("e1").distinct(), "e1", "left_semi").select(F.col("rep").alias("doc_id")))
+    links = connected(linked(star, texts, words, percent))
 
     # what the stars left apart
     label = reps.select("e1", "rep", "n", "hist").join(links.select(F.col("node").alias("rep"), "component"), "rep", "left").select("e1", "n", "hist", F.coalesce("component", "rep").alias("component"))
@@ -351,7 +358,7 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     more = written(more, "new-pairs")
     if not more.isEmpty():
         side = lambda p: reps.select(F.col("e1").alias(p), F.col("rep").alias(f"{p}_doc"))
-        found = linked(more.join(side("x"), "x").join(side("y"), "y"), docs, words, percent)
+        found = linked(more.join(side("x"), "x").join(side("y"), "y"), texts, words, percent)
         links = connected(found.union(links.select("node", "component")))
 
     groups = reps.join(links.select(F.col("node").alias("rep"), "component"), "rep", "left").select("e1", "e2", F.coalesce("component", "rep").alias("_component"), "rep", "_n").where("_n > 1 or _component <> rep").drop("rep")
