@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import connected, join_groups, shuffles, small_batches, written
 
 BUCKET = 2_000_000  # signatures that one reducing task holds at a time, about
-BINS = 64
+BINS = 256
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -54,7 +54,7 @@ def digest(s: np.ndarray) -> tuple[int, int]:
 
 def histogram(s: np.ndarray) -> bytes:
     """Counts of the features by BINS parts of their domain; half of what two sets' counts differ by can't exceed what the sets do."""
-    return np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=BINS), 65535).astype("<u2").tobytes()
+    return np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
 
 
 class Scheme:
@@ -222,10 +222,11 @@ def buckets_of(docs: DataFrame, words: int, scheme: Scheme, buckets: int) -> Dat
     return sent.repartition(buckets, "bucket").mapInArrow(meet, "sig long, e1 long, x long")
 
 
-def possible(scheme: Scheme, na, nb, ha: np.ndarray, hb: np.ndarray) -> np.ndarray:
-    """Whether sets of these sizes and histograms may be linked (never wrong about those that are)."""
+def spare(scheme: Scheme, na, nb, ha: np.ndarray, hb: np.ndarray) -> np.ndarray:
+    """How many more differences sets of these sizes and histograms may have and be linked; negative if they can't be."""
     bound = (100 - scheme.percent) * (na + nb) // (100 + scheme.percent)
-    return (np.abs(ha.astype(np.int32) - hb.astype(np.int32)).sum(axis=-1) <= bound) & (scheme.percent * np.maximum(na, nb) <= 100 * np.minimum(na, nb))
+    apart = np.abs(ha.astype(np.int16) - hb.astype(np.int16)).sum(axis=-1, dtype=np.int64)
+    return np.where(scheme.percent * np.maximum(na, nb) <= 100 * np.minimum(na, nb), bound - apart, -1)
 
 
 def screened(pairs: DataFrame, reps: DataFrame, scheme: Scheme) -> DataFrame:
@@ -235,30 +236,41 @@ def screened(pairs: DataFrame, reps: DataFrame, scheme: Scheme) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                hist = [np.frombuffer(b"".join(b[f"{p}_hist"].to_pylist()), "<u2").reshape(-1, BINS) for p in "xy"]
-                ok = possible(scheme, b["x_n"].to_numpy(), b["y_n"].to_numpy(), *hist)
+                hist = [np.frombuffer(b"".join(b[f"{p}_hist"].to_pylist()), np.uint8).reshape(-1, BINS) for p in "xy"]
+                ok = spare(scheme, b["x_n"].to_numpy(), b["y_n"].to_numpy(), *hist) >= 0
                 yield b.select(["x", "y", "x_doc", "y_doc"]).filter(pa.array(ok))
 
     return pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "x_doc", "y_doc", "x_n", "y_n", "x_hist", "y_hist").mapInArrow(run, "x long, y long, x_doc long, y_doc long")
 
 
-def sweep(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa.RecordBatch]:
+def sweep(batches: Iterator[pa.RecordBatch], scheme: Scheme, closest: bool) -> Iterator[pa.RecordBatch]:
     """Pairs of one bucket (sig) and two components that may be linked; rows come sorted by sig.
 
+    With ``closest``, each row gives one pair at most, with the row that it can be linked to most easily.
     A bucket that ends with a batch may go on in the next one, so its rows are carried over.
     """
 
     def pairs(sig, e1, n, comp, hist) -> np.ndarray:
         out, at, d = [np.empty((0, 2), np.int64)], np.arange(len(sig)), 1
+        best, mate = np.full(len(sig), -1), np.arange(len(sig))
         while len(at):  # rows that still have a row of their bucket d places on
             at = at[at + d < len(sig)]
             at = at[sig[at] == sig[at + d]]
             for k in range(0, len(at), 50_000):
                 i = at[k : k + 50_000]
                 i = i[comp[i] != comp[i + d]]
-                i = i[possible(scheme, n[i], n[i + d], hist[i], hist[i + d])]
-                out.append(np.stack([np.minimum(e1[i], e1[i + d]), np.maximum(e1[i], e1[i + d])], axis=1))
+                room = spare(scheme, n[i], n[i + d], hist[i], hist[i + d])
+                i, room = i[room >= 0], room[room >= 0]
+                if closest:
+                    for own, other in ((i, i + d), (i + d, i)):
+                        more = room > best[own]
+                        best[own[more]], mate[own[more]] = room[more], other[more]
+                else:
+                    out.append(np.stack([np.minimum(e1[i], e1[i + d]), np.maximum(e1[i], e1[i + d])], axis=1))
             d += 1
+        if closest:
+            i = np.flatnonzero(best >= 0)
+            out.append(np.stack([np.minimum(e1[i], e1[mate[i]]), np.maximum(e1[i], e1[mate[i]])], axis=1))
         return np.unique(np.concatenate(out), axis=0)
 
     def result(p: np.ndarray) -> pa.RecordBatch:
@@ -268,7 +280,7 @@ def sweep(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa.Reco
     for b in batches:
         if not b.num_rows:
             continue
-        now = [*(b[c].to_numpy() for c in ("sig", "e1", "n", "component")), np.frombuffer(b"".join(b["hist"].to_pylist()), "<u2").reshape(-1, BINS)]
+        now = [*(b[c].to_numpy() for c in ("sig", "e1", "n", "component")), np.frombuffer(b"".join(b["hist"].to_pylist()), np.uint8).reshape(-1, BINS)]
         held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
         whole = int(np.searchsorted(held[0], held[0][-1]))
         if whole:
@@ -346,20 +358,23 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     texts = candidate_texts(docs, reps.join(buckets.select("e1").distinct(), "e1", "left_semi").select(F.col("rep").alias("doc_id")))
     links = connected(linked(star, texts, words, percent))
 
-    # what the stars left apart
-    label = reps.select("e1", "rep", "n", "hist").join(links.select(F.col("node").alias("rep"), "component"), "rep", "left").select("e1", "n", "hist", F.coalesce("component", "rep").alias("component"))
-    placed = buckets.select("sig", "e1").join(label.select("e1", "component"), "e1")
-    split = placed.groupBy("sig").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("sig")
-    rest = buckets.select("sig", "e1").join(split, "sig").join(label, "e1").select("sig", "e1", "n", "hist", "component")
-
-    more = rest.repartition(shuffles(docs.sparkSession), "sig").sortWithinPartitions("sig").mapInArrow(lambda batches: sweep(batches, scheme), "x long, y long")
-    # written before the join: else the join is moved below distinct and gets each pair once per bucket
-    more = written(more.distinct(), "sweep-pairs").join(star.select("x", "y"), ["x", "y"], "left_anti")
-    more = written(more, "new-pairs")
-    if not more.isEmpty():
-        side = lambda p: reps.select(F.col("e1").alias(p), F.col("rep").alias(f"{p}_doc"))
-        found = linked(more.join(side("x"), "x").join(side("y"), "y"), texts, words, percent)
-        links = connected(found.union(links.select("node", "component")))
+    # What the stars left apart: first each row's closest row of another component of its bucket, then all pairs.
+    tested = star.select("x", "y")
+    side = lambda p: reps.select(F.col("e1").alias(p), F.col("rep").alias(f"{p}_doc"))
+    for closest in (True, False):
+        label = reps.select("e1", "rep", "n", "hist").join(links.select(F.col("node").alias("rep"), "component"), "rep", "left").select("e1", "n", "hist", F.coalesce("component", "rep").alias("component"))
+        placed = buckets.select("sig", "e1").join(label.select("e1", "component"), "e1")
+        split = placed.groupBy("sig").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("sig")
+        rest = buckets.select("sig", "e1").join(split, "sig").join(label, "e1").select("sig", "e1", "n", "hist", "component")
+        dealt = rest.repartition(shuffles(docs.sparkSession), "sig").sortWithinPartitions("sig")
+        found = dealt.mapInArrow(lambda batches, c=closest: sweep(batches, scheme, c), "x long, y long")
+        # written before the join: else the join is moved below distinct and gets each pair once per bucket
+        more = written(written(found.distinct(), "sweep-pairs").join(tested, ["x", "y"], "left_anti"), "new-pairs")
+        if more.isEmpty():
+            continue
+        tested = tested.union(more)
+        new = linked(more.join(side("x"), "x").join(side("y"), "y"), texts, words, percent)
+        links = connected(new.union(links.select("node", "component")))
 
     groups = reps.join(links.select(F.col("node").alias("rep"), "component"), "rep", "left").select("e1", "e2", F.coalesce("component", "rep").alias("_component"), "rep", "_n").where("_n > 1 or _component <> rep").drop("rep")
     out = join_groups(rows.select("doc_id", "n", "e1", "e2"), groups, ["e1", "e2"], F.col("doc_id").cast("string"))
