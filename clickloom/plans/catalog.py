@@ -1,2 +1,357 @@
-def queries(): return {}
-def oracle_sql(): return {}
+"""The queries by name, each with the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalar as X
+from ..operators import auction, drift, features, metrics, profile, significance, sketches, validate
+from ..schema import MISSING, OTHER
+from ..sources.clicklog import EVENT_FEATURES, SplitSpec, canon_events
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+VOCAB, TOP, PSI_K, MIN_IMPS = 60, 20, 10, 20
+
+LOG = f"""
+log0 AS (
+  SELECT CAST(event_id AS VARCHAR) AS _id, CAST(strftime(ts, '%Y%m%d') AS INT) AS _day, CAST(hour(ts) AS INT) AS _hod,
+         CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS _label_click, CAST(user_id AS VARCHAR) AS user_id,
+         CASE WHEN json_extract_string(props, '$.k') = '0' THEN '{MISSING}' ELSE json_extract_string(props, '$.k') END AS k,
+         CAST(CAST(floor(value / 10) AS INT) AS VARCHAR) AS value_bin, CAST(hour(ts) AS VARCHAR) AS hour_str
+  FROM events
+), log AS (
+  SELECT *, CASE WHEN _day <= 20240124 THEN 'train' WHEN _day IN (20240125, 20240126, 20240127) THEN 'valid' WHEN _day IN (20240128, 20240129, 20240130) THEN 'test' END AS split
+  FROM log0 WHERE _day <= 20240130
+), longform AS (
+  {" UNION ALL ".join(f"SELECT split, _day AS day, _label_click AS label, '{f}' AS feature, {f} AS value FROM log" for f in EVENT_FEATURES)}
+), cube AS (SELECT split, day, feature, value, count(*) AS n_rows, sum(label) AS clicks FROM longform GROUP BY ALL
+), counts AS (SELECT feature, value, sum(n_rows) AS count, sum(clicks) AS clicks FROM cube WHERE split = 'train' GROUP BY ALL
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY feature ORDER BY count DESC, value) AS rank, sum(count) OVER (PARTITION BY feature) AS n,
+         sum(CASE WHEN value <> '{MISSING}' THEN count ELSE 0 END) OVER (PARTITION BY feature) AS nm,
+         sum(count) OVER (PARTITION BY feature ORDER BY count DESC, value ROWS UNBOUNDED PRECEDING) AS running
+  FROM counts)
+"""
+SHARES = f"""
+top AS (SELECT feature, value FROM ranked WHERE rank <= {PSI_K}
+), bins AS (SELECT feature, value AS bin FROM top UNION SELECT feature, '{OTHER}' FROM top UNION SELECT feature, '{MISSING}' FROM top
+), binned AS (SELECT c.*, CASE WHEN t.value IS NULL THEN '{OTHER}' ELSE c.value END AS bin FROM cube c LEFT JOIN top t ON c.feature = t.feature AND c.value = t.value
+), tr AS (SELECT feature, bin, sum(n_rows) AS n FROM binned WHERE split = 'train' GROUP BY ALL
+), trn AS (SELECT feature, sum(n) AS train_n FROM tr GROUP BY ALL
+), dy AS (SELECT split, day, feature, bin, sum(n_rows) AS m FROM binned WHERE split <> 'train' GROUP BY ALL
+), dyn AS (SELECT split, day, feature, sum(m) AS n_rows FROM dy GROUP BY ALL
+), shares AS (
+  SELECT d.feature, d.split, d.day, b.bin, coalesce(tr.n, 0) / trn.train_n AS p, coalesce(dy.m, 0) / d.n_rows AS q, d.n_rows
+  FROM dyn d JOIN bins b ON d.feature = b.feature JOIN trn ON trn.feature = d.feature
+  LEFT JOIN tr ON tr.feature = d.feature AND tr.bin = b.bin LEFT JOIN dy ON dy.split = d.split AND dy.day = d.day AND dy.feature = d.feature AND dy.bin = b.bin)
+"""
+
+
+def query(sql: str | None = None, digits: int = 9):
+    """Register a query under its function's name; doubles are rounded on both sides, as sums differ in their last bits."""
+
+    def add(f: Query) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = f(spark, sf_dir)
+            return df.withColumns({c: F.round(F.col(f"`{c}`"), digits) for c, t in df.dtypes if t == "double"})
+
+        run.__doc__ = f.__doc__
+        _QUERIES[f.__name__] = run
+        if sql:
+            _SQL[f.__name__] = sql
+        return run
+
+    return add
+
+
+def _r(x: str, digits: int = 9) -> str:
+    return f"round(CAST({x} AS DOUBLE), {digits})"
+
+
+def _cube(spark: SparkSession, d: str) -> DataFrame:
+    return profile.cube(canon_events(spark, d), EVENT_FEATURES)
+
+
+for _by, _col in (("day", "_day"), ("hod", "_hod")):
+
+    def _ctr(spark, d, by=_by):
+        return getattr(profile, f"ctr_by_{by}")(canon_events(spark, d))
+
+    _ctr.__name__ = f"ctr_by_{_by}"
+    query(f"WITH {LOG} SELECT split, {_col} AS {_by}, count(*) AS impressions, CAST(sum(_label_click) AS BIGINT) AS clicks, {_r('sum(_label_click) / count(*)')} AS ctr FROM log GROUP BY ALL")(_ctr)
+
+
+@query(f"WITH {LOG} SELECT split, day, feature, value, n_rows, n_rows AS n_labeled, CAST(clicks AS BIGINT) AS clicks FROM cube")
+def value_cube(spark, d):
+    return _cube(spark, d)
+
+
+@query(f"WITH {LOG} SELECT feature, CAST(rank AS INT) AS rank, value, CAST(count AS BIGINT) AS count, {_r('count / n')} AS pct_of_train_rows FROM ranked WHERE rank <= {TOP}")
+def topk_train(spark, d):
+    return profile.top_k(_cube(spark, d), TOP)
+
+
+@query(f"WITH {LOG} SELECT feature, CAST(rank AS INT) AS k, {_r('running / nm')} AS coverage_non_missing FROM ranked WHERE rank IN ({', '.join(map(str, sorted({*profile.COVERAGE_KS, VOCAB})))})")
+def coverage_train(spark, d):
+    return profile.coverage(_cube(spark, d), vocab_k=VOCAB)
+
+
+@query(f"WITH {LOG} SELECT feature, {_r(f'''sum(CASE WHEN value = '{MISSING}' THEN count ELSE 0 END) / sum(count)''')} AS missing_rate_train FROM counts GROUP BY feature")
+def missing_train(spark, d):
+    return profile.missing_rate(_cube(spark, d))
+
+
+@query(f"""WITH {LOG} SELECT feature, CAST(max(rank) AS INT) AS max_k_used, {_r(f"max(CASE WHEN rank <= {VOCAB} THEN running / nm END)")} AS "coverage@vocab_k",
+{", ".join(f'CAST(min(CASE WHEN running / nm >= {p / 100} THEN rank END) AS INT) AS "min_k@{p}", min(CASE WHEN running / nm >= {p / 100} THEN rank END) IS NOT NULL AS "min_k@{p}_reached"' for p in (90, 95, 99))}
+FROM ranked WHERE rank <= 5000 GROUP BY feature""")
+def min_k_train(spark, d):
+    return profile.min_k(_cube(spark, d), VOCAB)
+
+
+@query(f"""WITH {LOG}, v AS (SELECT c.split, c.feature, c.value, c.n_rows, (r.value IS NULL AND c.value <> '{MISSING}') AS oov FROM cube c LEFT JOIN (SELECT * FROM ranked WHERE rank <= {VOCAB}) r ON c.feature = r.feature AND c.value = r.value WHERE c.split <> 'train')
+SELECT split, feature, CAST({VOCAB} AS INT) AS vocab_k, {_r('sum(CASE WHEN oov THEN n_rows ELSE 0 END) / sum(n_rows)')} AS oov_row_rate, count(DISTINCT CASE WHEN oov THEN value END) AS oov_unique FROM v GROUP BY split, feature""")
+def oov_vs_train_vocab(spark, d):
+    return profile.out_of_vocabulary(_cube(spark, d), VOCAB)
+
+
+_clip = lambda x, e: f"least(greatest({x}, {e}), 1.0)"
+_psi = lambda e: f"({_clip('q', e)} - {_clip('p', e)}) * ln({_clip('q', e)} / {_clip('p', e)})"
+
+
+@query(f"WITH {LOG}, {SHARES} SELECT feature, split, day, {_r(f'sum({_psi(1e-6)})')} AS psi, CAST(any_value(n_rows) AS BIGINT) AS n_rows FROM shares GROUP BY feature, split, day")
+def psi_by_field_day(spark, d):
+    return drift.psi_by_field_day(_cube(spark, d), PSI_K)
+
+
+@query(f"WITH {LOG}, {SHARES} SELECT feature, split, day, bin, {_r(_clip('p', 1e-10))} AS p, {_r(_clip('q', 1e-10))} AS q, {_r(_psi(1e-10))} AS psi_contrib FROM shares")
+def psi_components_day(spark, d):
+    return drift.psi_components(_cube(spark, d), PSI_K)
+
+
+@query(f"""WITH {LOG}, f AS (SELECT feature, value, min(day) AS day FROM cube WHERE split = 'train' AND value <> '{MISSING}' GROUP BY ALL),
+t AS (SELECT split, day, feature, sum(n_rows) AS n_rows FROM cube GROUP BY ALL),
+n AS (SELECT 'train' AS split, day, feature, count(*) AS new FROM f GROUP BY ALL UNION ALL
+      SELECT split, day, feature, sum(n_rows) FROM cube c WHERE split <> 'train' AND value <> '{MISSING}' AND NOT EXISTS (SELECT 1 FROM f WHERE f.feature = c.feature AND f.value = c.value) GROUP BY ALL)
+SELECT CASE WHEN t.split = 'train' THEN 'train_incremental' ELSE 'vs_full_train' END AS scope, t.split, t.day, t.feature, {_r('coalesce(n.new, 0) / t.n_rows')} AS new_row_rate, CAST(t.n_rows AS BIGINT) AS n_rows
+FROM t LEFT JOIN n ON t.split = n.split AND t.day = n.day AND t.feature = n.feature""")
+def new_value_rate_by_day(spark, d):
+    return drift.novelty(_cube(spark, d))
+
+
+@query(f"""WITH {LOG}, v AS (SELECT c.feature, CASE WHEN r.value IS NULL THEN '{OTHER}' ELSE c.value END AS value, c.count, c.clicks FROM counts c LEFT JOIN (SELECT * FROM ranked WHERE rank <= {TOP}) r ON c.feature = r.feature AND c.value = r.value),
+g AS (SELECT feature, value, sum(count) AS imps, sum(clicks) AS clicks, sum(sum(clicks)) OVER (PARTITION BY feature) / sum(sum(count)) OVER (PARTITION BY feature) AS p0 FROM v GROUP BY feature, value),
+w AS (SELECT *, clicks / imps AS ctr, (clicks / imps + 3.8416 / (2 * imps)) / (1 + 3.8416 / imps) AS c, 1.96 * sqrt((clicks / imps) * (1 - clicks / imps) / imps + 3.8416 / (4.0 * imps * imps)) / (1 + 3.8416 / imps) AS m,
+             (clicks / imps - p0) / sqrt(greatest(p0 * (1 - p0) / imps, 1e-12)) AS z FROM g)
+SELECT feature, value, CAST(imps AS BIGINT) AS imps, CAST(clicks AS BIGINT) AS clicks, {_r('ctr')} AS ctr, {_r('ctr / greatest(p0, 1e-12)')} AS lift_vs_global, {_r('greatest(0, c - m)')} AS wilson_lo, {_r('least(1, c + m)')} AS wilson_hi, {_r('z')} AS zscore_vs_global,
+       imps >= 100 AS pass_min_imps_100, imps >= 200 AS pass_min_imps_200, imps >= 200 AND abs(z) >= 8 AS is_suspicious FROM w""")
+def ctr_by_value_train(spark, d):
+    return significance.ctr_by_value(_cube(spark, d), TOP, (100, 200))
+
+
+PAIRS = [("k", "user_id"), ("hour_str", "value_bin")]
+CELLS = (
+    f"top AS (SELECT feature, value FROM ranked WHERE rank <= {PSI_K}), "
+    + "cells0 AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{a}__X__{b}' AS pair, '{a}' AS feature_a, '{b}' AS feature_b, CASE WHEN ta.value IS NULL THEN '{OTHER}' ELSE log.{a} END AS a_bin, CASE WHEN tb.value IS NULL THEN '{OTHER}' ELSE log.{b} END AS b_bin, count(*) AS imps, sum(_label_click) AS clicks "
+        f"FROM log LEFT JOIN top ta ON ta.feature = '{a}' AND ta.value = log.{a} LEFT JOIN top tb ON tb.feature = '{b}' AND tb.value = log.{b} WHERE split = 'train' GROUP BY ALL"
+        for a, b in PAIRS
+    )
+    + """), cells1 AS (SELECT *, sum(imps) OVER (PARTITION BY pair) AS n, sum(clicks) OVER (PARTITION BY pair) / sum(imps) OVER (PARTITION BY pair) AS p0, clicks / imps AS ctr,
+  sum(clicks) OVER (PARTITION BY pair, a_bin) / sum(imps) OVER (PARTITION BY pair, a_bin) AS ctr_a, sum(clicks) OVER (PARTITION BY pair, b_bin) / sum(imps) OVER (PARTITION BY pair, b_bin) AS ctr_b FROM cells0),
+cells AS (SELECT *, ctr / greatest(p0, 1e-12) AS lift_joint, ctr / greatest(ctr_a * ctr_b / greatest(p0, 1e-12), 1e-12) AS lift_over_marginal, ln(greatest(ctr / greatest(ctr_a * ctr_b / greatest(p0, 1e-12), 1e-12), 1e-12)) AS log_interaction FROM cells1)"""
+)
+
+
+def _cells(spark, d):
+    log = canon_events(spark, d)
+    return significance.pair_cells(log, profile.cube(log, EVENT_FEATURES), PAIRS, PSI_K)
+
+
+@query(f"WITH {LOG}, {CELLS} SELECT pair, feature_a, feature_b, a_bin, b_bin, imps, CAST(clicks AS BIGINT) AS clicks, {_r('ctr')} AS ctr, {_r('lift_joint')} AS lift_joint, {_r('lift_over_marginal')} AS lift_over_marginal, {_r('log_interaction')} AS log_interaction FROM cells WHERE imps >= {MIN_IMPS}")
+def pair_interaction_combos(spark, d):
+    return significance.pair_combos(_cells(spark, d), MIN_IMPS)
+
+
+_mi = lambda c, y: f"CASE WHEN {c} > 0 THEN ({c} / n) * ln(({c} / n) / greatest((imps / n) * ({y}), 1e-12)) ELSE 0 END"
+
+
+@query(f"""WITH {LOG}, {CELLS}, o AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY a_bin, b_bin) AS i, row_number() OVER (PARTITION BY pair ORDER BY CASE WHEN imps >= {MIN_IMPS} THEN 0 ELSE 1 END, abs(log_interaction) DESC, a_bin, b_bin) AS j FROM cells),
+s AS (SELECT pair, feature_a, feature_b, sum({_mi('clicks', 'p0')} + {_mi('(imps - clicks)', '1 - p0')}) AS mi, count(*) AS n_combos FROM cells GROUP BY ALL),
+b AS (SELECT f.pair, CASE WHEN t.imps >= {MIN_IMPS} AND abs(t.log_interaction) > abs(f.log_interaction) THEN t ELSE f END AS x FROM o f JOIN o t ON f.pair = t.pair AND f.i = 1 AND t.j = 1)
+SELECT s.pair, s.feature_a, s.feature_b, {_r('mi')} AS mi_y_combo, n_combos, x.a_bin AS best_combo_a, x.b_bin AS best_combo_b, x.imps AS best_combo_imps, {_r('x.log_interaction')} AS best_combo_log_interaction FROM s JOIN b ON s.pair = b.pair""")
+def pair_interaction_summary(spark, d):
+    return significance.pair_summary(_cells(spark, d), MIN_IMPS)
+
+
+_SPLIT = SplitSpec(method="random")
+
+
+@query("SELECT split, count(*) AS n, min(event_id) AS lo, max(event_id) AS hi, CAST(sum(event_id) AS BIGINT) AS total FROM (SELECT event_id, CASE WHEN u < 0.8 THEN 'train' WHEN u < 0.9 THEN 'valid' ELSE 'test' END AS split FROM (SELECT event_id, CAST(concat('0x', substr(md5(concat('split_v1|', event_id)), 1, 8)) AS BIGINT) / 4294967296.0 AS u FROM events)) GROUP BY split")
+def random_split(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.col("event_id").alias("_id"))
+    return _SPLIT.assign(e).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("lo"), F.max("event_id").alias("hi"), F.sum("event_id").alias("total"))
+
+
+@query(f"WITH {LOG} SELECT split, count(*) AS n_rows, count(DISTINCT _day) AS n_days, count(*) FILTER (_label_click IS NULL) AS null_labels, count(*) FILTER (_label_click NOT IN (0, 1)) AS bad_labels, count(*) FILTER (_id IS NULL) AS null_ids, 0::BIGINT AS violations FROM log GROUP BY split")
+def schema_violations(spark, d):
+    return validate.violations(canon_events(spark, d))
+
+
+@query(f"WITH {LOG}, m AS (SELECT split, feature, avg(CASE WHEN value = '{MISSING}' THEN 1.0 ELSE 0.0 END) AS r FROM longform GROUP BY ALL) SELECT split, feature, {_r('r')} AS missing_rate, CAST(row_number() OVER (PARTITION BY split ORDER BY r DESC, feature) AS INT) AS place FROM m")
+def most_missing(spark, d):
+    return validate.most_missing(canon_events(spark, d), EVENT_FEATURES)
+
+
+@query("SELECT event_id, CAST(strftime(ts, '%Y%m%d') AS INT) AS short_day, CAST(strftime(ts, '%Y%m%d') AS INT) AS long_day, CAST(strftime(ts, '%Y%m%d') AS INT) AS float_day, CAST(hour(ts) AS SMALLINT) AS short_hod, CAST(hour(ts) AS SMALLINT) AS long_hod, CAST(hour(ts) AS SMALLINT) AS float_hod FROM events")
+def hour_parse(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    forms = {"short": F.date_format("ts", "yyMMddHH"), "long": F.concat(F.lit(" "), F.date_format("ts", "yyyyMMddHH")), "float": F.concat(F.date_format("ts", "yyMMddHH"), F.lit(".0"))}
+    return e.select("event_id", *(X.hour_day(t).alias(f"{n}_day") for n, t in forms.items()), *(X.hour_of_day(t).alias(f"{n}_hod") for n, t in forms.items()))
+
+
+@query()
+def hll_distinct(spark, d):
+    """Estimated distinct values by split and feature, from registers (no CRC in the SQL engine to compare with)."""
+    long = profile.long_form(canon_events(spark, d), EVENT_FEATURES)
+    return sketches.hll_estimate(sketches.hll_registers(long, ["split", "feature"]), ["split", "feature"])
+
+
+@query()
+def bloom_novelty(spark, d):
+    """Values of later splits that a train filter may hold, by feature."""
+    long = profile.long_form(canon_events(spark, d), EVENT_FEATURES)
+    bits = sketches.bloom_bits(long.where("split = 'train'").select("feature", "value").distinct(), ["feature"])
+    return sketches.bloom_contains(long.where("split <> 'train'"), bits, ["feature"]).groupBy("feature", "may_contain").agg(F.count(F.lit(1)).alias("n"))
+
+
+# scored rows: the smoothed train rate of k
+SCORED = f"""scored AS (SELECT l._id, l._label_click AS y, coalesce((r.clicks + 2) / (r.count + 10), 0.2) AS p, l.split FROM log l LEFT JOIN counts r ON r.feature = 'k' AND r.value = l.k WHERE l.split <> 'train')"""
+
+
+def scored_events(spark, d):
+    log = canon_events(spark, d)
+    rate = log.where("split = 'train'").groupBy("k").agg(((F.sum("_label_click") + 2) / (F.count(F.lit(1)) + 10)).alias("r"))
+    return log.where("split <> 'train'").join(rate, "k", "left").select("_id", F.col("_label_click").alias("y_true"), F.coalesce("r", F.lit(0.2)).alias("y_pred"), "split")
+
+
+EVAL = """u AS (SELECT split AS grp, p, sum(y) AS pos, sum(1 - y) AS neg FROM scored GROUP BY ALL),
+a AS (SELECT grp, sum(pos * (b + neg / 2)) / (sum(pos) * sum(neg)) AS auc FROM (SELECT *, coalesce(sum(neg) OVER (PARTITION BY grp ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM u) GROUP BY grp),
+l AS (SELECT split AS grp, avg(-(y * ln(p) + (1 - y) * ln(1 - p))) AS logloss FROM scored GROUP BY ALL),
+b0 AS (SELECT split AS grp, least(floor(p * 10), 9) AS bin, count(*) AS n, abs(avg(p) - avg(y)) AS gap FROM scored GROUP BY ALL),
+c AS (SELECT grp, sum(gap * n) / sum(n) AS ece, max(gap) AS mce FROM b0 GROUP BY grp),
+k AS (SELECT grp, max(abs(cp - cn)) AS ks FROM (SELECT grp, sum(pos) OVER w / sum(pos) OVER (PARTITION BY grp) AS cp, sum(neg) OVER w / sum(neg) OVER (PARTITION BY grp) AS cn FROM u WINDOW w AS (PARTITION BY grp ORDER BY p ROWS UNBOUNDED PRECEDING)) GROUP BY grp)"""
+
+
+@query(f"""WITH {LOG}, {SCORED}, {EVAL} SELECT a.grp AS "group", {_r('auc')} AS auc, {_r('2 * auc - 1')} AS gini, {_r('logloss')} AS logloss, {_r('ece')} AS ece, {_r('mce')} AS mce, {_r('ks')} AS ks FROM a JOIN l USING (grp) JOIN c USING (grp) JOIN k USING (grp)""")
+def evaluate_by_split(spark, d):
+    return metrics.evaluate(scored_events(spark, d), "split")
+
+
+@query(f"""WITH {LOG}, {SCORED} SELECT '{metrics.ALL}' AS "group", CAST(least(floor(p * 10), 9) AS INT) AS bin, count(*) AS n, {_r('avg(p)')} AS mean_predicted, {_r('avg(y)')} AS mean_actual FROM scored GROUP BY ALL""")
+def reliability_curve(spark, d):
+    return metrics.reliability(scored_events(spark, d))
+
+
+_POISSON = "CASE WHEN u < 0.36787944117144233 THEN 0 WHEN u < 0.7357588823428847 THEN 1 WHEN u < 0.9196986029286058 THEN 2 WHEN u < 0.9810118431238462 THEN 3 WHEN u < 0.9963401531726563 THEN 4 WHEN u < 0.9994058151824183 THEN 5 ELSE 6 END"
+
+
+@query(f"""WITH {LOG}, {SCORED}, r AS (SELECT y AS x, b, CAST(concat('0x', substr(md5(concat('bootstrap_v1|', _id, ':', b)), 1, 8)) AS BIGINT) / 4294967296.0 AS u FROM scored, range(50) t(b)),
+m AS (SELECT b, sum(x * {_POISSON}) / sum({_POISSON}) AS m FROM r GROUP BY b)
+SELECT {_r('(SELECT avg(y) FROM scored)')} AS estimate, {_r('quantile_cont(m, 0.025)')} AS lower, {_r('quantile_cont(m, 0.975)')} AS upper FROM m""")
+def bootstrap_ctr(spark, d):
+    return metrics.bootstrap_mean(scored_events(spark, d), "_id", "y_true", 50)
+
+
+@query()
+def temperature_fit(spark, d):
+    return metrics.temperature(scored_events(spark, d))
+
+
+def _bids(spark, d):
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
+    return li.select(F.col("l_orderkey").alias("auction_id"), F.col("l_suppkey").alias("bidder_id"), "l_linenumber", "l_partkey", F.col("l_extendedprice").alias("bid_price"))
+
+
+@query("""SELECT auction_id, CAST(slot AS INT) AS slot, bidder_id, l_linenumber, l_partkey, round(bid_price, 9) AS bid_price, round(coalesce(nxt, 0.0), 9) AS price, 0.0::DOUBLE AS platform_fee
+FROM (SELECT l_orderkey AS auction_id, l_suppkey AS bidder_id, l_linenumber, l_partkey, l_extendedprice AS bid_price, row_number() OVER w AS slot, lead(l_extendedprice) OVER w AS nxt FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_suppkey, l_linenumber, l_partkey)) WHERE slot <= 2""")
+def second_price_auction(spark, d):
+    return auction.simulate(_bids(spark, d), ["bidder_id", "l_linenumber", "l_partkey"], slots=2)
+
+
+@query("""SELECT bidder_id, count(*) AS won, round(sum(bid_price), 2) AS spend FROM (SELECT l_suppkey AS bidder_id, l_extendedprice AS bid_price, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_suppkey, l_linenumber, l_partkey) AS slot FROM lineitem) WHERE slot = 1 GROUP BY bidder_id""", digits=2)
+def first_price_spend(spark, d):
+    won = auction.simulate(_bids(spark, d), ["bidder_id", "l_linenumber", "l_partkey"], rule="first_price")
+    return won.groupBy("bidder_id").agg(F.count(F.lit(1)).alias("won"), F.sum("price").alias("spend"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT o_custkey % 50 AS budget_id, o_orderkey AS seq, o_totalprice / 1000 AS cost, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) AS i FROM orders),
+f AS (SELECT budget_id, i, cost, cost <= 3000 AS accepted, CASE WHEN cost <= 3000 THEN cost ELSE 0.0 END AS spent FROM e WHERE i = 1
+      UNION ALL SELECT e.budget_id, e.i, e.cost, f.spent + e.cost <= 3000, CASE WHEN f.spent + e.cost <= 3000 THEN f.spent + e.cost ELSE f.spent END FROM f JOIN e ON e.budget_id = f.budget_id AND e.i = f.i + 1)
+SELECT budget_id, round(max(spent), 6) AS spent, count(*) FILTER (accepted) AS accepted, count(*) AS events, round(3000 - max(spent), 6) AS remaining, round(max(spent) / 3000, 6) AS utilization FROM f GROUP BY budget_id""", digits=6)
+def greedy_budgets(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet").select((F.col("o_custkey") % 50).alias("budget_id"), F.col("o_orderkey").alias("seq"), (F.col("o_totalprice") / 1000).alias("cost"))
+    return auction.budget_state(auction.spend_budgets(o, 3000.0, ["budget_id"], ["seq"]), 3000.0, ["budget_id"])
+
+
+def _kpi_events(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    t = F.col("event_type")
+    return e.select(t, (F.col("value") >= 50).alias("winner"), t.isin("view", "click", "purchase").alias("impression"), (t == "click").alias("click"), (t == "purchase").alias("conversion"), (F.col("value") / 100).alias("spend"), "value", F.date_format("ts", "yyyyMMdd").cast("int").alias("day"))
+
+
+_KPI = """WITH e AS (SELECT value >= 50 AS winner, event_type IN ('view', 'click', 'purchase') AS impression, event_type = 'click' AS click, event_type = 'purchase' AS conversion, value / 100 AS spend, value, CAST(strftime(ts, '%Y%m%d') AS INT) AS day FROM events),
+g AS (SELECT day, sum(CASE WHEN winner THEN spend ELSE 0 END) AS spend, {imps} AS impressions, count(*) FILTER (click) AS clicks, count(*) FILTER (conversion) AS conversions, sum(CASE WHEN conversion THEN value ELSE 0 END) AS revenue FROM e GROUP BY day)
+SELECT day, round(spend, 6) AS spend, impressions, clicks, conversions, round(revenue, 6) AS revenue, round(clicks / nullif(impressions, 0), 6) AS ctr, round(conversions / nullif(impressions, 0), 6) AS cvr, round(spend / nullif(clicks, 0), 6) AS cpc, round(spend / nullif(conversions, 0), 6) AS cpa, round(1000 * spend / nullif(impressions, 0), 6) AS rpm FROM g"""
+
+
+@query(_KPI.format(imps="count(*) FILTER (impression)"), digits=6)
+def kpi_by_day(spark, d):
+    return auction.kpis(_kpi_events(spark, d), ["day"])
+
+
+@query(_KPI.format(imps="count(*) FILTER (impression) + count(*) FILTER (winner)"), digits=6)
+def kpi_by_day_legacy(spark, d):
+    return auction.kpis(_kpi_events(spark, d), ["day"], "legacy")
+
+
+@query(f"WITH {LOG} SELECT l._id, coalesce(r.rank, 0)::INT AS id FROM log l LEFT JOIN (SELECT * FROM ranked WHERE feature = 'k' AND rank <= {VOCAB}) r ON l.k = r.value")
+def vocabulary_encoding(spark, d):
+    log = canon_events(spark, d)
+    m = features.FeatureMap([features.FeatureSpec("k", "vocab", {"vocab_size": VOCAB})])
+    return m.fit(log.where("split = 'train'")).transform(log).select("_id", F.col("k").alias("id"))
+
+
+@query("SELECT event_id, CAST((value >= 10)::INT + (value >= 50)::INT + (value >= 100)::INT + (value >= 250)::INT AS INT) AS bucket, round((value - (SELECT avg(value) FROM events)) / (SELECT stddev_pop(value) FROM events), 6) AS normalized, round(ln(1 + value), 6) AS logged FROM events", digits=6)
+def numeric_encodings(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.col("value").alias("bucket"), F.col("value").alias("normalized"), F.col("value").alias("logged"))
+    specs = [features.FeatureSpec("bucket", "bucket", {"boundaries": [10, 50, 100, 250]}), features.FeatureSpec("normalized", "normalize"), features.FeatureSpec("logged", "log")]
+    return features.FeatureMap(specs).fit_transform(e)
+
+
+@query("SELECT user_id, array_to_string(list(event_type ORDER BY ts, event_id), ',') AS sequence FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 20 GROUP BY user_id")
+def user_sequences(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return features.build_sequences(e, "user_id", "ts", "event_type", "event_id", 20).select("user_id", F.array_join("sequence", ",").alias("sequence"))
+
+
+_before = lambda n: f"CAST(coalesce(sum(n) OVER (PARTITION BY user_id ORDER BY day RANGE BETWEEN {n} PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS d{n}_n"
+
+
+@query(f"SELECT user_id, day, n, {_before(1)}, {_before(7)}, {_before(30)} FROM (SELECT user_id, CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS INT) AS day, count(*) AS n FROM events GROUP BY ALL)")
+def cross_day_windows(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").groupBy("user_id", F.unix_date(F.to_date("ts")).alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    return features.cross_day(e, "user_id", "day", ["n"])
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
