@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -10,6 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,17 +103,35 @@ def fit_linear(rows: np.ndarray, cols: np.ndarray, n: int, d: int, y: np.ndarray
     return w, b
 
 
+def word_hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word) - (1 << 63)
+
+
+class WordWeights(dict):
+    """Weight by word, found by the word's hash when it is first met."""
+
+    def __init__(self, by_hash: dict[int, float]):
+        super().__init__()
+        self.by_hash = by_hash
+
+    def __missing__(self, word: str) -> float:
+        if len(self) > 300_000:
+            self.clear()
+        self[word] = w = self.by_hash.get(word_hash(word), 0.0)
+        return w
+
+
 @dataclass
 class Classifier:
-    weights: dict[str, float]
+    weights: dict[int, float]  # by word hash
     patterns: np.ndarray
     bias: float
 
-    def score(self, text: str | None) -> float:
+    def score(self, text: str | None, words: WordWeights | None = None) -> float:
         z = self.bias
         if text:
-            get = self.weights.get
-            z += sum(get(w, 0.0) for w in words_of(text)) + float(self.patterns @ np.array(pattern_votes(text), float))
+            words = WordWeights(self.weights) if words is None else words
+            z += sum(map(words.__getitem__, words_of(text))) + float(self.patterns @ np.array(pattern_votes(text), float))
         return float(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
 
 
@@ -127,47 +145,54 @@ def learn(docs: DataFrame, labels: DataFrame) -> Classifier:
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # FIT_ROWS ids at most
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for b in batches:
-            sets = [sorted(words_of(t.as_py())) for t in b["text"]]
-            marks = [hash(tuple(heapq.nsmallest(4, (xxhash.xxh3_64_intdigest(w) for w in s)))) for s in sets]  # of integers: the same in any process
-            votes = [pattern_votes(t.as_py()) for t in b["text"]]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["toxic"], pa.array(sets, pa.list_(pa.string())), pa.array(marks, pa.int64()), pa.array(votes, pa.list_(pa.bool_()))], ["doc_id", "toxic", "words", "mark", "patterns"])
-
-    rows = joined.select("doc_id", "text", "toxic").mapInArrow(extract, "doc_id long, toxic int, words array<string>, mark long, patterns array<boolean>")
-    found: pd.DataFrame = rows.toPandas().sort_values("doc_id").drop_duplicates("mark")
-    return fit(found["words"].tolist(), found["patterns"].tolist(), found["toxic"].to_numpy())
-
-
-def fit(words: list, patterns: list, toxic: np.ndarray) -> Classifier:
-    n = len(words)
+            sets = [np.sort(np.fromiter(map(word_hash, w := words_of(t.as_py())), np.int64, len(w))) for t in b["text"]]
+            votes = [sum(v << i for i, v in enumerate(pattern_votes(t.as_py()))) for t in b["text"]]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["toxic"], pa.array(sets, pa.list_(pa.int64())), pa.array(votes, pa.int32())], ["doc_id", "toxic", "words", "patterns"])
+
+    # hashes of words, not words: some tens of MB for the rows of FIT_ROWS texts
+    found = joined.select("doc_id", "text", "toxic").mapInArrow(extract, "doc_id long, toxic int, words array<long>, patterns int").toArrow().combine_chunks()
+    if not found.num_rows:
+        return fit(np.empty(0, np.int64), np.zeros(1, np.int64), np.empty((0, len(PATTERNS))), np.empty(0))
+    column = found["words"].combine_chunks()
+    flat, ends = column.flatten().to_numpy(), np.asarray(column.offsets) - column.offsets[0].as_py()
+    bits = found["patterns"].to_numpy()[:, None] >> np.arange(len(PATTERNS)) & 1
+    order = np.argsort(found["doc_id"].to_numpy(), kind="stable")
+    marks = pd.Series([flat[ends[i] : ends[i] + 4].tobytes() for i in order])
+    order = order[~marks.duplicated().to_numpy()]
+    lengths = np.diff(ends)[order]
+    take = np.concatenate([np.arange(ends[i], ends[i + 1]) for i in order])
+    return fit(flat[take], np.concatenate([[0], np.cumsum(lengths)]), bits[order].astype(float), found["toxic"].to_numpy()[order])
+
+
+def fit(flat: np.ndarray, ends: np.ndarray, patterns: np.ndarray, toxic: np.ndarray) -> Classifier:
+    """Fit on rows whose word hashes are flat[ends[i]:ends[i + 1]]."""
+    n = len(ends) - 1
     if n == 0 or toxic.min() == toxic.max():
         # nothing to learn from: the general lexicon decides
-        return Classifier({w: 4.0 for w in LEXICON}, np.zeros(len(PATTERNS)), -3.0)
-    lengths = [len(w) for w in words]
-    flat = pd.Series(np.concatenate([np.asarray(w, object) for w in words]))
+        return Classifier({word_hash(w): 4.0 for w in LEXICON}, np.zeros(len(PATTERNS)), -3.0)
     codes, vocabulary = pd.factorize(flat)
-    rows = np.repeat(np.arange(n), lengths)
+    rows = np.repeat(np.arange(n), np.diff(ends))
     df = np.bincount(codes, minlength=len(vocabulary))
     keep = np.flatnonzero(df >= MIN_DOCS)
     column = np.full(len(vocabulary), -1)
     column[keep] = np.arange(len(keep))
     mask = column[codes] >= 0
-    rows, cols, names = rows[mask], column[codes[mask]], [str(vocabulary[k]) for k in keep]
+    rows, cols, names = rows[mask], column[codes[mask]], vocabulary[keep].tolist()
     pos = np.bincount(cols, toxic[rows], len(names))
     neg = np.bincount(cols, 1 - toxic[rows], len(names))
     # lexicon voters: the general lexicon, and words whose odds are well above the rest's beyond chance
     p, q = (pos + 0.5) / (toxic.sum() + 1), (neg + 0.5) / ((1 - toxic).sum() + 1)
     sure = np.log(p / q) - 2.0 * np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
     learned = [k for k in np.argsort(-sure * np.sqrt(pos)) if sure[k] > 0.5][:VOTERS]
-    general = [k for k, w in enumerate(names) if w in set(LEXICON) and sure[k] > 0]
+    lexicon = set(map(word_hash, LEXICON))
+    general = [k for k, w in enumerate(names) if w in lexicon and sure[k] > 0]
     voters = list(dict.fromkeys([*learned, *general]))
     votes = np.zeros((n, len(voters) + len(PATTERNS)))
     at = {k: i for i, k in enumerate(voters)}
     for r, c in zip(rows[hit := np.isin(cols, voters)], cols[hit]):
         votes[r, at[c]] = 1
-    votes[:, len(voters) :] = np.asarray(patterns, float).reshape(n, len(PATTERNS))
+    votes[:, len(voters) :] = patterns
     start = 0.05 + 0.9 * toxic.astype(float)
     model = fit_label_model(votes, start)
     chance = model.posterior(votes)
@@ -194,7 +219,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     classifier = learn(base, labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(~held))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordWeights(classifier.weights)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([classifier.score(t.as_py()) for t in b.column(1)], pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([classifier.score(t.as_py(), words) for t in b.column(1)], pa.float64())], ["doc_id", "score"])
 
     return base.mapInArrow(run, "doc_id long, score double").select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
