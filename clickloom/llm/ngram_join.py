@@ -172,8 +172,9 @@ def buckets_of(docs: DataFrame, words: int, scheme: Scheme, buckets: int) -> Dat
                 a, b = ends[k], ends[k + 1]
                 own, counts = np.unique(ent[a:b], return_counts=True)
                 out.append((k, sig[a:b].tobytes(), digests[own].tobytes(), counts.astype("<u4").tobytes()))
-            cols = list(zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "sigs", "ents", "counts"])
+            if out:  # sets that only equal ones are similar to have no signatures
+                cols = list(zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "sigs", "ents", "counts"])
             sigs.clear()
             ents.clear()
 

@@ -139,7 +139,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Classifier:
     """Fit voters, label model and classifier on at most FIT_ROWS labelled rows (the caller leaves out held-out ones).
 
     Near copies of a text would make its rare words look telling, so of rows whose word
-    sets have the same four smallest hashes only one counts.
+    sets have the same 16 smallest hashes only one counts.
     """
     chosen = labels.where("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # FIT_ROWS ids at most
@@ -158,7 +158,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Classifier:
     flat, ends = column.flatten().to_numpy(), np.asarray(column.offsets) - column.offsets[0].as_py()
     bits = found["patterns"].to_numpy()[:, None] >> np.arange(len(PATTERNS)) & 1
     order = np.argsort(found["doc_id"].to_numpy(), kind="stable")
-    marks = pd.Series([flat[ends[i] : ends[i] + 4].tobytes() for i in order])
+    marks = pd.Series([flat[ends[i] : min(ends[i] + 16, ends[i + 1])].tobytes() for i in order])
     order = order[~marks.duplicated().to_numpy()]
     lengths = np.diff(ends)[order]
     take = np.concatenate([np.arange(ends[i], ends[i + 1]) for i in order])
