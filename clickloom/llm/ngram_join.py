@@ -381,3 +381,20 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     out = join_groups(rows.select("doc_id", "n", "e1", "e2"), groups, ["e1", "e2"], F.col("doc_id").cast("string"))
     linked_row = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(linked_row, F.coalesce("_component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+#: The rows of ``components`` with words=3, percent=90.
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                      ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w
+), u AS (SELECT doc_id, unnest(s) AS g, len(s) AS n FROM s
+), p AS (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS m, any_value(b.n) AS n, count(*) AS c FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), l AS (SELECT x, y FROM p WHERE 100 * c >= 90 * (m + n - c)
+), e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+), r(doc_id, node) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.node = e.x
+), k AS (SELECT doc_id, min(node) AS component_id FROM r GROUP BY doc_id)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, k.component_id FROM s JOIN k ON s.doc_id = k.doc_id
+"""

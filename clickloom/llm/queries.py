@@ -65,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": exact.SQL} | ({"op6_secret_scans": secrets.SQL} if getattr(secrets, "SQL", None) else {})
+    return {"op4_ngram_jaccard_join": ngram_join.SQL, "op6_secret_scans": secrets.SQL, "op7_suffix_array_dedup": suffix.SQL, "op8_exact_dedup": exact.SQL}

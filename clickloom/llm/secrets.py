@@ -205,3 +205,24 @@ def reference_spans(text: str | None) -> list[tuple[int, str, int]]:
             if len(m[rule.group]) >= rule.least:
                 out.append((m.start(), i, rule.kind, m.end()))
     return [(s, k, e) for s, _, k, e in sorted(out)]
+
+
+def _sql() -> str:
+    """The rows of ``scan_digests``, by running every rule on every text."""
+    parts = []
+    for i, r in enumerate(RULES):
+        p = (("(?i)" if r.any_case else "") + r.pattern).replace("'", "''")
+        parts.append(f"SELECT doc_id, {i} AS k, '{r.kind}' AS kind, regexp_extract_all(text, '{p}') AS m, regexp_extract_all(text, '{p}', {r.group}) AS v, string_split_regex(text, '{p}') AS p, {r.least} AS least FROM d WHERE regexp_matches(text, '{p}')")
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+f AS ({" UNION ALL ".join(parts)}),
+x AS (SELECT doc_id, k, kind, least, m, v, p, unnest(range(1, len(m) + 1)) AS i FROM f),
+s AS (SELECT doc_id, k, kind, CAST(list_sum(list_transform(p[1:i], lambda t: length(t))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda t: length(t))), 0) AS BIGINT) AS a, length(m[i]) AS n FROM x WHERE length(v[i]) >= least),
+g AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+             string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, k) AS spans, string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, k) FILTER (k < 3) AS base FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g ON d.doc_id = g.doc_id
+"""
+
+
+SQL = _sql()

@@ -429,3 +429,18 @@ def _far_spans(far: DataFrame, arrays) -> DataFrame:
     twice = strings.groupBy("key", "h").agg(F.min(F.struct("ent", "pos")).alias("x"), F.max(F.struct("ent", "pos")).alias("y")).where("x <> y").select("key", "h")
     hit = strings.join(twice, ["key", "h"]).groupBy("ent", "pos").agg(F.max("s").alias("first"), F.min("s").alias("last"))
     return hit.select("ent", (F.col("pos") - F.col("first")).alias("a"), (F.col("pos") - F.col("last") + LENGTH).alias("b"))
+
+
+#: The rows of ``remove_repeats``, by grouping all strings of 200 bytes.
+SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, i, md5_number(substr(h, CAST(2 * i + 1 AS BIGINT), 400)) AS m FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 199)) AS i FROM d)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY m) AS c FROM p) WHERE c > 1),
+b AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER w <= 200 THEN 0 ELSE 1 END AS new FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM b),
+s AS (SELECT doc_id, k, min(i) AS a, max(i) + 200 AS e FROM g GROUP BY doc_id, k),
+z AS (SELECT doc_id, CAST(sum(e - a) AS BIGINT) AS n_removed, count(*) AS n_spans, list(a ORDER BY a) AS aa, list(e ORDER BY a) AS ee FROM s GROUP BY doc_id)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN aa IS NULL THEN h ELSE array_to_string(list_transform(range(1, len(aa) + 2), lambda j: substr(h, CAST(2 * coalesce(ee[j - 1], 0) + 1 AS BIGINT), CAST(2 * (coalesce(aa[j], length(h) // 2) - coalesce(ee[j - 1], 0)) AS BIGINT))), '') END)) AS kept_sha256
+FROM d LEFT JOIN z ON d.doc_id = z.doc_id
+"""
