@@ -65,7 +65,8 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     denominator = 1 + F.lit(z * z) / m
     center = (p + F.lit(z * z) / (2 * m)) / denominator
     margin = F.lit(z) * F.sqrt(p * (1 - p) / m + F.lit(z * z) / (4 * m * m)) / denominator
-    return F.coalesce(F.greatest(F.lit(0.0), center - margin), F.lit(0.0)), F.coalesce(F.least(F.lit(1.0), center + margin), F.lit(0.0))
+    zero = F.lit(0.0)
+    return F.when(n > 0, F.greatest(zero, center - margin)).otherwise(zero), F.when(n > 0, F.least(F.lit(1.0), center + margin)).otherwise(zero)
 
 
 def z_score(k: Column, n: Column, p0: Column) -> Column:
