@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clip, psi_term, ratio
@@ -41,12 +41,13 @@ def novelty(c: DataFrame) -> DataFrame:
 
     On train days: values first seen that day over the day's rows.  On later days: rows
     whose value train never has, over the day's rows.  Missing values are never new.
+    One scan: the first train day of a value is a window over its rows of the cube.
     """
-    totals = c.groupBy("split", "day", "feature").agg(F.sum("n_rows").alias("n_rows"))
-    first = c.where("split = 'train'").where(F.col("value") != MISSING).groupBy("feature", "value").agg(F.min("day").alias("day"))
-    new_train = first.groupBy("feature", "day").agg(F.count(F.lit(1)).alias("new")).withColumns({"split": F.lit("train")})
-    later = c.where("split <> 'train'").where(F.col("value") != MISSING).join(first.select("feature", "value"), ["feature", "value"], "left_anti")
-    new_later = later.groupBy("feature", "day", "split").agg(F.sum("n_rows").alias("new"))
-    out = totals.join(new_train.unionByName(new_later), ["split", "day", "feature"], "left")
-    scope = F.when(F.col("split") == "train", "train_incremental").otherwise("vs_full_train")
-    return out.select(scope.alias("scope"), "split", "day", "feature", ratio(F.coalesce("new", F.lit(0)), F.col("n_rows")).alias("new_row_rate"), "n_rows")
+    present = F.col("value") != MISSING
+    train = F.col("split") == "train"
+    first = F.min(F.when(train & present, F.col("day"))).over(Window.partitionBy("feature", "value"))
+    seen = c.withColumn("_first", first)
+    new = F.when(~present, 0).when(train, (F.col("day") == F.col("_first")).cast("long")).when(F.col("_first").isNull(), F.col("n_rows")).otherwise(0)
+    g = seen.groupBy("split", "day", "feature").agg(F.sum(new).alias("new"), F.sum("n_rows").alias("n_rows"))
+    scope = F.when(train, "train_incremental").otherwise("vs_full_train")
+    return g.select(scope.alias("scope"), "split", "day", "feature", ratio(F.col("new"), F.col("n_rows")).alias("new_row_rate"), "n_rows")

@@ -15,49 +15,67 @@ def _grouped(scored: DataFrame, group: str | None) -> DataFrame:
     return scored.select(g.alias("group"), F.col("y_true").cast("int").alias("y"), F.col("y_pred").cast("double").alias("p")).where("y is not null and p is not null")
 
 
-def auc(scored: DataFrame, group: str | None = None) -> DataFrame:
-    """group, auc, gini: Mann-Whitney with mid-ranks; null where a group has one class only.
+def score_counts(scored: DataFrame, group: str | None = None) -> DataFrame:
+    """group, p, pos, neg: rows by distinct score.  All metrics below start from it, so one scan and one shuffle serve them."""
+    return _grouped(scored, group).groupBy("group", "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
 
-    Rows are first counted by distinct score, so the ranking runs over score values.
-    """
-    c = _grouped(scored, group).groupBy("group", "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+
+def _auc(c: DataFrame) -> DataFrame:
     below = F.coalesce(F.sum("neg").over(Window.partitionBy("group").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     g = c.withColumn("u", F.col("pos") * (below + F.col("neg") / 2)).groupBy("group").agg(F.sum("u").alias("u"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     a = F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.try_divide(F.col("u"), F.col("pos").cast("double") * F.col("neg")))
     return g.select("group", a.alias("auc"), (2 * a - 1).alias("gini"))
 
 
-def ks(scored: DataFrame, group: str | None = None) -> DataFrame:
-    """group, ks: the largest gap between the score distributions of the two classes."""
-    c = _grouped(scored, group).groupBy("group", "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+def _ks(c: DataFrame) -> DataFrame:
     run, all_ = Window.partitionBy("group").orderBy("p").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("group")
     share = lambda x: F.try_divide(F.sum(x).over(run).cast("double"), F.sum(x).over(all_))
     return c.withColumn("gap", F.abs(share("pos") - share("neg"))).groupBy("group").agg(F.max("gap").alias("ks"))
 
 
-def logloss(scored: DataFrame, group: str | None = None, eps: float = 1e-15) -> DataFrame:
+def _logloss(c: DataFrame, eps: float = 1e-15) -> DataFrame:
     p = F.least(F.greatest(F.col("p"), F.lit(eps)), F.lit(1 - eps))
-    return _grouped(scored, group).groupBy("group").agg(F.avg(-(F.col("y") * F.ln(p) + (1 - F.col("y")) * F.ln(1 - p))).alias("logloss"))
+    return c.groupBy("group").agg((-F.sum(F.col("pos") * F.ln(p) + F.col("neg") * F.ln(1 - p)) / F.sum(F.col("pos") + F.col("neg"))).alias("logloss"))
+
+
+def _reliability(c: DataFrame, n_bins: int) -> DataFrame:
+    b, n = F.least(F.floor(clip(F.col("p"), 0.0) * n_bins), F.lit(n_bins - 1)).cast("int"), F.col("pos") + F.col("neg")
+    return c.groupBy("group", b.alias("bin")).agg(F.sum(n).alias("n"), (F.sum(F.col("p") * n) / F.sum(n)).alias("mean_predicted"), (F.sum("pos") / F.sum(n)).alias("mean_actual"))
+
+
+def _calibration(c: DataFrame, n_bins: int) -> DataFrame:
+    gap = F.abs(F.col("mean_predicted") - F.col("mean_actual"))
+    return _reliability(c, n_bins).groupBy("group").agg((F.sum(gap * F.col("n")) / F.sum("n")).alias("ece"), F.max(gap).alias("mce"))
+
+
+def auc(scored: DataFrame, group: str | None = None) -> DataFrame:
+    """group, auc, gini: Mann-Whitney with mid-ranks; null where a group has one class only."""
+    return _auc(score_counts(scored, group))
+
+
+def ks(scored: DataFrame, group: str | None = None) -> DataFrame:
+    """group, ks: the largest gap between the score distributions of the two classes."""
+    return _ks(score_counts(scored, group))
+
+
+def logloss(scored: DataFrame, group: str | None = None) -> DataFrame:
+    return _logloss(score_counts(scored, group))
 
 
 def reliability(scored: DataFrame, n_bins: int = 10, group: str | None = None) -> DataFrame:
     """group, bin, n, mean_predicted, mean_actual over bins of equal width."""
-    b = F.least(F.floor(clip(F.col("p"), 0.0) * n_bins), F.lit(n_bins - 1)).cast("int")
-    return _grouped(scored, group).groupBy("group", b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_predicted"), F.avg("y").alias("mean_actual"))
+    return _reliability(score_counts(scored, group), n_bins)
 
 
 def calibration(scored: DataFrame, n_bins: int = 10, group: str | None = None) -> DataFrame:
     """group, ece, mce."""
-    gap = F.abs(F.col("mean_predicted") - F.col("mean_actual"))
-    return reliability(scored, n_bins, group).groupBy("group").agg((F.sum(gap * F.col("n")) / F.sum("n")).alias("ece"), F.max(gap).alias("mce"))
+    return _calibration(score_counts(scored, group), n_bins)
 
 
 def evaluate(scored: DataFrame, group: str | None = None, n_bins: int = 10) -> DataFrame:
     """All metrics, a row per group."""
-    out = auc(scored, group)
-    for m in (logloss(scored, group), calibration(scored, n_bins, group), ks(scored, group)):
-        out = out.join(m, "group")
-    return out
+    c = score_counts(scored, group)
+    return _auc(c).join(_logloss(c), "group").join(_calibration(c, n_bins), "group").join(_ks(c), "group")
 
 
 def _replicates(rows: DataFrame, ident: str, b: int, key: str) -> DataFrame:

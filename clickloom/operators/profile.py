@@ -38,27 +38,32 @@ def value_counts(c: DataFrame, split: str = "train") -> DataFrame:
     return c.where(F.col("split") == split).groupBy("feature", "value").agg(F.sum("n_rows").alias("count"), F.sum("clicks").alias("clicks"))
 
 
-def ranked(counts: DataFrame) -> DataFrame:
-    """Add rank by count within a feature; ties by value."""
-    return counts.withColumn("rank", F.row_number().over(Window.partitionBy("feature").orderBy(F.desc("count"), "value")))
+def top_values(counts: DataFrame, k: int) -> DataFrame:
+    """The ``k`` most frequent values of each feature with their rank; ties by value.
+
+    The limit stands right on the rank, so Spark cuts each task's values to k before they meet
+    (for k up to spark.sql.optimizer.windowGroupLimitThreshold).
+    """
+    return counts.withColumn("rank", F.row_number().over(Window.partitionBy("feature").orderBy(F.desc("count"), "value"))).where(F.col("rank") <= k)
+
+
+def _totals(counts: DataFrame) -> DataFrame:
+    """feature, n, n_present (rows, and rows that are not missing): a row per feature."""
+    return counts.groupBy("feature").agg(F.sum("count").alias("n"), F.sum(F.when(F.col("value") != MISSING, F.col("count")).otherwise(0)).alias("n_present"))
 
 
 def top_k(c: DataFrame, k: int = 50) -> DataFrame:
     """feature, rank, value, count, pct_of_train_rows."""
     counts = value_counts(c)
-    total = Window.partitionBy("feature")
-    return ranked(counts.withColumn("n", F.sum("count").over(total))).where(F.col("rank") <= k).select("feature", "rank", "value", "count", (F.col("count") / F.col("n")).alias("pct_of_train_rows"))
+    return top_values(counts, k).join(_totals(counts), "feature").select("feature", "rank", "value", "count", (F.col("count") / F.col("n")).alias("pct_of_train_rows"))
 
 
-def _coverage(c: DataFrame, exclude_missing: bool) -> DataFrame:
-    """Every rank with its running share of the rows that are not missing."""
+def _coverage(c: DataFrame, k: int, exclude_missing: bool) -> DataFrame:
+    """The first k ranks with their running share of the rows that are not missing."""
     counts = value_counts(c)
-    w = Window.partitionBy("feature")
-    base = counts.withColumn("denominator", F.sum(F.when(F.col("value") != MISSING, F.col("count")).otherwise(0)).over(w))
-    if exclude_missing:
-        base = base.where(F.col("value") != MISSING)
-    running = F.sum("count").over(w.orderBy(F.desc("count"), "value").rowsBetween(Window.unboundedPreceding, 0))
-    return ranked(base).withColumn("coverage", ratio(running, F.col("denominator")))
+    used = counts.where(F.col("value") != MISSING) if exclude_missing else counts
+    running = F.sum("count").over(Window.partitionBy("feature").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    return top_values(used, k).withColumn("running", running).join(_totals(counts), "feature").withColumn("coverage", ratio(F.col("running"), F.col("n_present")))
 
 
 def coverage(c: DataFrame, ks: list[int] | None = None, vocab_k: int = 2000, exclude_missing: bool = False) -> DataFrame:
@@ -67,7 +72,7 @@ def coverage(c: DataFrame, ks: list[int] | None = None, vocab_k: int = 2000, exc
     The share may exceed 1: values that are missing count above, not below, unless excluded.
     """
     wanted = sorted({*(ks or COVERAGE_KS), vocab_k})
-    return _coverage(c, exclude_missing).where(F.col("rank").isin(wanted)).select("feature", F.col("rank").alias("k"), F.col("coverage").alias("coverage_non_missing"))
+    return _coverage(c, wanted[-1], exclude_missing).where(F.col("rank").isin(wanted)).select("feature", F.col("rank").alias("k"), F.col("coverage").alias("coverage_non_missing"))
 
 
 def missing_rate(c: DataFrame, split: str = "train") -> DataFrame:
@@ -77,7 +82,7 @@ def missing_rate(c: DataFrame, split: str = "train") -> DataFrame:
 
 def min_k(c: DataFrame, vocab_k: int = 2000, max_k: int = 5000, exclude_missing: bool = False) -> DataFrame:
     """The first rank that covers 90, 95 and 99 percent, and what ``vocab_k`` values cover."""
-    cov = _coverage(c, exclude_missing).where(F.col("rank") <= max_k)
+    cov = _coverage(c, max_k, exclude_missing)
     first = {f"min_k@{p}": F.min(F.when(F.col("coverage") >= p / 100, F.col("rank"))) for p in (90, 95, 99)}
     out = cov.groupBy("feature").agg(F.max("rank").alias("max_k_used"), F.max(F.when(F.col("rank") <= vocab_k, F.col("coverage"))).alias("coverage@vocab_k"), *(e.alias(n) for n, e in first.items()))
     return out.withColumns({f"{n}_reached": F.col(f"`{n}`").isNotNull() for n in first})
@@ -85,7 +90,7 @@ def min_k(c: DataFrame, vocab_k: int = 2000, max_k: int = 5000, exclude_missing:
 
 def vocabulary(c: DataFrame, k: int) -> DataFrame:
     """feature, value of the k most frequent train values: k rows a feature at most."""
-    return ranked(value_counts(c)).where(F.col("rank") <= k).select("feature", "value")
+    return top_values(value_counts(c), k).select("feature", "value")
 
 
 def out_of_vocabulary(c: DataFrame, vocab_k: int = 2000) -> DataFrame:

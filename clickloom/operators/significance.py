@@ -27,23 +27,22 @@ def ctr_by_value(c: DataFrame, top: int = 2000, thresholds: tuple[int, ...] = (1
 
 
 def pair_cells(log: DataFrame, c: DataFrame, pairs: list[tuple[str, str]], k: int = 50) -> DataFrame:
-    """pair, feature_a, feature_b, a_bin, b_bin, imps, clicks over train, and the marginals.
+    """pair, feature_a, feature_b, a_bin, b_bin, imps, clicks over train.
 
-    Each pair is one aggregate over the raw values, binned after it.
+    All pairs are counted in one scan, over the raw values; these are binned after that.
     """
-    train, top = log.where("split = 'train'"), vocabulary(c, k)
-    out = None
-    for a, b in [p for p in pairs if p[0] in log.columns and p[1] in log.columns]:
-        g = train.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("imps"), F.sum(F.coalesce(F.col("_label_click").cast("long"), F.lit(0))).alias("clicks"))
-        for x, f in (("a", a), ("b", b)):
-            own = top.where(F.col("feature") == f).select(F.col("value").alias(x), F.lit(True).alias(f"_{x}"))
-            g = g.join(own, x, "left").withColumn(f"{x}_bin", F.when(F.col(f"_{x}"), F.col(x)).otherwise(OTHER))
-        g = g.groupBy("a_bin", "b_bin").agg(F.sum("imps").alias("imps"), F.sum("clicks").alias("clicks"))
-        g = g.select(F.lit(f"{a}__X__{b}").alias("pair"), F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), "*")
-        out = g if out is None else out.unionByName(g)
-    if out is None:
+    pairs = [p for p in pairs if p[0] in log.columns and p[1] in log.columns]
+    if not pairs:
         return log.sparkSession.createDataFrame([], "pair string, feature_a string, feature_b string, a_bin string, b_bin string, imps long, clicks long")
-    return out
+    values = F.array(*(F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(a).alias("a"), F.col(b).alias("b")) for a, b in pairs))
+    label = F.coalesce(F.col("_label_click").cast("long"), F.lit(0)).alias("label")
+    g = log.where("split = 'train'").select(label, F.explode(values).alias("v")).groupBy("v.feature_a", "v.feature_b", "v.a", "v.b").agg(F.count(F.lit(1)).alias("imps"), F.sum("label").alias("clicks"))
+    top = vocabulary(c, k)
+    for x in "ab":
+        own = top.select(F.col("feature").alias(f"feature_{x}"), F.col("value").alias(x), F.lit(True).alias(f"_{x}"))
+        g = g.join(own, [f"feature_{x}", x], "left").withColumn(f"{x}_bin", F.when(F.col(f"_{x}"), F.col(x)).otherwise(OTHER))
+    pair = F.concat("feature_a", F.lit("__X__"), "feature_b").alias("pair")
+    return g.groupBy(pair, "feature_a", "feature_b", "a_bin", "b_bin").agg(F.sum("imps").alias("imps"), F.sum("clicks").alias("clicks"))
 
 
 def pair_interactions(cells: DataFrame) -> DataFrame:

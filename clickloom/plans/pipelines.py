@@ -35,16 +35,16 @@ def write_tables(tables: dict[str, DataFrame], out: str) -> list[str]:
     return sorted(tables)
 
 
-def profile_tables(log: DataFrame, features: list[str], vocab_k: int = 2000) -> dict[str, DataFrame]:
-    c = profile.cube(log, features)
+def profile_tables(log: DataFrame, features: list[str], vocab_k: int = 2000, cube: DataFrame | None = None) -> dict[str, DataFrame]:
+    c = profile.cube(log, features) if cube is None else cube
     return {
         "ctr_by_day": profile.ctr_by_day(log), "ctr_by_hod": profile.ctr_by_hod(log), "topk_train": profile.top_k(c), "coverage_train": profile.coverage(c, vocab_k=vocab_k),
         "missing_train": profile.missing_rate(c), "min_k_train": profile.min_k(c, vocab_k), "oov_vs_train_vocab": profile.out_of_vocabulary(c, vocab_k),
     }
 
 
-def drift_tables(log: DataFrame, features: list[str], pairs: list[tuple[str, str]] | None = None, k: int = 50) -> dict[str, DataFrame]:
-    c = profile.cube(log, features)
+def drift_tables(log: DataFrame, features: list[str], pairs: list[tuple[str, str]] | None = None, k: int = 50, cube: DataFrame | None = None) -> dict[str, DataFrame]:
+    c = profile.cube(log, features) if cube is None else cube
     cells = significance.pair_cells(log, c, pairs or DEFAULT_PAIRS, k)
     return {
         "psi_by_field_day": drift.psi_by_field_day(c, k), "psi_components_day": drift.psi_components(c, k), "new_value_rate_by_day": drift.novelty(c), "ctr_by_value_train": significance.ctr_by_value(c),
@@ -53,9 +53,16 @@ def drift_tables(log: DataFrame, features: list[str], pairs: list[tuple[str, str
 
 
 def run_profile(spark: SparkSession, root: str, out: str, features: list[str]) -> list[str]:
-    """Profile and drift tables of a materialized log."""
+    """Profile and drift tables of a materialized log.
+
+    The cube is written first: the log is scanned once for it, once for the rates by time and
+    once for the pairs, and every other table is made from the cube.
+    """
     log = read_canonical(spark, root, features=features)
-    return write_tables(profile_tables(log, features) | drift_tables(log, features), out)
+    c = profile.cube(log, features)
+    c.write.mode("overwrite").parquet(f"{out}/value_cube")
+    c = spark.read.schema(c.schema).parquet(f"{out}/value_cube")
+    return write_tables(profile_tables(log, features, cube=c) | drift_tables(log, features, cube=c), out)
 
 
 def replay(bids: DataFrame, order: list[str], budget: float, slots: int = 1, rule: str = "second_price") -> DataFrame:

@@ -12,6 +12,7 @@ def build_session(app: str = "clickloom", **conf: str) -> SparkSession:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
     } | conf
     return SparkSession.builder.appName(app).config(map=settings).getOrCreate()
