@@ -18,6 +18,7 @@ from .common import crc_bucket, small_batches
 #: Labelled rows that everything is fitted on, at most: those of the smallest hash of their id.
 FIT_ROWS = 12_000
 VOTERS = 40  # learned lexicon voters, at most
+STEM = 5
 MIN_DOCS = 5  # documents of the fitting rows that a word must occur in
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -33,7 +34,12 @@ PATTERNS = [
 
 
 def words_of(text: str | None) -> set[str]:
-    return set(WORD.findall(text.lower())) if text else set()
+    """Distinct words, and the stems (marked, first STEM letters) of the longer ones, as an insult may come in many inflections."""
+    if not text:
+        return set()
+    words = set(WORD.findall(text.lower()))
+    words.update([f"^{w[:STEM]}" for w in words if len(w) > STEM])
+    return words
 
 
 def pattern_votes(text: str | None) -> list[bool]:
