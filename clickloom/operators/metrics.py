@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import clip, unit_hash
 
 ALL = "__ALL__"
+SLICES = 1 << 16
 
 
 def _grouped(scored: DataFrame, group: str | None) -> DataFrame:
@@ -20,17 +21,28 @@ def score_counts(scored: DataFrame, group: str | None = None) -> DataFrame:
     return _grouped(scored, group).groupBy("group", "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
 
 
-def _auc(c: DataFrame) -> DataFrame:
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy("group").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    g = c.withColumn("u", F.col("pos") * (below + F.col("neg") / 2)).groupBy("group").agg(F.sum("u").alias("u"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    a = F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.try_divide(F.col("u"), F.col("pos").cast("double") * F.col("neg")))
-    return g.select("group", a.alias("auc"), (2 * a - 1).alias("gini"))
-
+def _running(c: DataFrame) -> DataFrame:
+    """Add pos_below, neg_below (rows with a smaller score) and the group's all_pos, all_neg.
 
-def _ks(c: DataFrame) -> DataFrame:
-    run, all_ = Window.partitionBy("group").orderBy("p").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("group")
-    share = lambda x: F.try_divide(F.sum(x).over(run).cast("double"), F.sum(x).over(all_))
-    return c.withColumn("gap", F.abs(share("pos") - share("neg"))).groupBy("group").agg(F.max("gap").alias("ks"))
+    The sums run in two levels, so that no group has to be ordered by one task: the totals of 2**16 equal
+    slices of the scores first (at most that many rows a group), then the scores inside each slice.
+    """
+    sliced = c.withColumn("slice", F.floor(clip(F.col("p"), 0.0) * SLICES))  # a power of two: exact, so the order is kept
+    total = sliced.groupBy("group", "slice").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    before, whole = Window.partitionBy("group").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("group")
+    base = total.select("group", "slice", *(F.coalesce(F.sum(x).over(before), F.lit(0)).alias(f"{x}_base") for x in ("pos", "neg")), *(F.sum(x).over(whole).alias(f"all_{x}") for x in ("pos", "neg")))
+    inside = Window.partitionBy("group", "slice").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    joined = sliced.withColumns({f"{x}_in": F.coalesce(F.sum(x).over(inside), F.lit(0)) for x in ("pos", "neg")}).join(base, ["group", "slice"])
+    return joined.withColumns({f"{x}_below": F.col(f"{x}_base") + F.col(f"{x}_in") for x in ("pos", "neg")})
+
+
+def _separation(c: DataFrame) -> DataFrame:
+    """group, auc, gini, ks: what the order of the scores gives, in one pass over it."""
+    share = lambda x: F.try_divide((F.col(f"{x}_below") + F.col(x)).cast("double"), F.col(f"all_{x}"))
+    ordered = _running(c).withColumns({"u": F.col("pos") * (F.col("neg_below") + F.col("neg") / 2), "gap": F.abs(share("pos") - share("neg"))})
+    g = ordered.groupBy("group").agg(F.sum("u").alias("u"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.max("gap").alias("ks"))
+    a = F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.try_divide(F.col("u"), F.col("pos").cast("double") * F.col("neg")))
+    return g.select("group", a.alias("auc"), (2 * a - 1).alias("gini"), "ks")
 
 
 def _logloss(c: DataFrame, eps: float = 1e-15) -> DataFrame:
@@ -50,12 +62,12 @@ def _calibration(c: DataFrame, n_bins: int) -> DataFrame:
 
 def auc(scored: DataFrame, group: str | None = None) -> DataFrame:
     """group, auc, gini: Mann-Whitney with mid-ranks; null where a group has one class only."""
-    return _auc(score_counts(scored, group))
+    return _separation(score_counts(scored, group)).select("group", "auc", "gini")
 
 
 def ks(scored: DataFrame, group: str | None = None) -> DataFrame:
     """group, ks: the largest gap between the score distributions of the two classes."""
-    return _ks(score_counts(scored, group))
+    return _separation(score_counts(scored, group)).select("group", "ks")
 
 
 def logloss(scored: DataFrame, group: str | None = None) -> DataFrame:
@@ -75,7 +87,7 @@ def calibration(scored: DataFrame, n_bins: int = 10, group: str | None = None) -
 def evaluate(scored: DataFrame, group: str | None = None, n_bins: int = 10) -> DataFrame:
     """All metrics, a row per group."""
     c = score_counts(scored, group)
-    return _auc(c).join(_logloss(c), "group").join(_calibration(c, n_bins), "group").join(_ks(c), "group")
+    return _separation(c).join(_logloss(c), "group").join(_calibration(c, n_bins), "group")
 
 
 def _replicates(rows: DataFrame, ident: str, b: int, key: str) -> DataFrame:

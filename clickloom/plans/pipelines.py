@@ -15,11 +15,11 @@ DEFAULT_PAIRS = [("site_id", "app_id"), ("site_domain", "app_domain"), ("app_id"
 def materialize(spark: SparkSession, config: dict, out_root: str) -> dict[str, int]:
     """Write the canonical log by split and day, replacing the partitions it has rows for; rows by split.
 
-    Rows are dealt by split, day and a share of the ids, so that a large day is several files.
+    Rows are rebalanced by split and day: adaptive execution cuts a day that is larger than its advisory
+    size into several files, and puts small days into one task.
     """
     log = build_source(config).load(spark)
-    parts = int(config.get("files_per_day", 4))
-    dealt = log.withColumn("day", F.col("_day")).repartition("split", "day", F.pmod(F.xxhash64("_id"), F.lit(parts)))
+    dealt = log.withColumn("day", F.col("_day")).hint("rebalance", "split", "day")
     dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "snappy").partitionBy("split", "day").parquet(out_root)
     return {r["split"]: r["rows"] for r in files_index(spark, out_root).groupBy("split").agg(F.sum("rows").alias("rows")).collect()}
 

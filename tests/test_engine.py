@@ -243,3 +243,15 @@ def test_without_the_training_data_part():
 
     code = "import sys; sys.modules['clickloom.llm'] = None; import __spark_entry__ as e; assert len(e.queries()) > 30 and not any(q.startswith('op') for q in e.queries())"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def test_auc_and_ks_across_slices(spark):
+    """Scores of few and of many slices, ties, and scores outside 0 to 1, against all pairs."""
+    rows = [(i % 3 == 0, g, s) for i in range(150) for g, s in (("near", 0.5 + (i * 37 % 50) * 1e-9), ("wide", (i * 61 % 97) / 50 - 0.4))]
+    df = spark.createDataFrame([(int(y), g, s) for y, g, s in rows], "y_true int, g string, y_pred double")
+    got = {r["group"]: r for r in metrics.evaluate(df, "g").collect()}
+    for g in ("near", "wide"):
+        pos, neg = [s for y, h, s in rows if h == g and y], [s for y, h, s in rows if h == g and not y]
+        auc = sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg))
+        ks = max(abs(sum(p <= t for p in pos) / len(pos) - sum(n <= t for n in neg) / len(neg)) for t in pos + neg)
+        assert math.isclose(got[g]["auc"], auc) and math.isclose(got[g]["ks"], ks)
