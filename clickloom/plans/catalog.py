@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import scalar as X
 from ..operators import auction, drift, features, metrics, profile, significance, sketches, validate
 from ..schema import MISSING, OTHER
-from ..sources.clicklog import EVENT_FEATURES, SplitSpec, canon_events
+from ..sources.clicklog import EVENT_FEATURES, ClickLogSource, SplitSpec, canon_events, event_log
+from ..streaming import queries as streams
+from . import pipelines
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -51,6 +53,16 @@ top AS (SELECT feature, value FROM ranked WHERE rank <= {PSI_K}
   LEFT JOIN tr ON tr.feature = d.feature AND tr.bin = b.bin LEFT JOIN dy ON dy.split = d.split AND dy.day = d.day AND dy.feature = d.feature AND dy.bin = b.bin)
 """
 
+# CRC-32 and Adler-32 of the values, byte by byte
+HASHES = """vals AS (SELECT DISTINCT feature, value FROM longform), bytes AS (SELECT *, list_transform(range(1, 1 + length(value)), lambda i: ord(substr(value, i, 1))::BIGINT) AS b FROM vals),
+hashes AS (SELECT feature, value,
+  xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)), lambda y, i: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384::BIGINT) ELSE y >> 1 END)), 4294967295::BIGINT) AS crc,
+  CAST((length(b) + list_sum(list_transform(b, lambda x, i: x * (length(b) - i + 1)))) % 65521 * 65536 + (1 + list_sum(b)) % 65521 AS BIGINT) AS adler FROM bytes)"""
+# estimate of distinct values from the registers of (by, crc)
+HLL = """reg AS (SELECT {by}, crc & 16383 AS bucket, max(19 - CASE WHEN crc >> 14 > 0 THEN length(bin(crc >> 14)) ELSE 0 END) AS rank FROM {rows} GROUP BY ALL),
+est0 AS (SELECT {by}, 0.7213 / (1 + 1.079 / 16384) * 16384.0 * 16384 / (sum(pow(2.0, -rank)) + 16384 - count(*)) AS raw, 16384 - count(*) AS zeros FROM reg GROUP BY ALL),
+est AS (SELECT {by}, CASE WHEN raw <= 2.5 * 16384 AND zeros > 0 THEN 16384.0 * (ln(16384) - ln(zeros)) ELSE raw END AS estimate FROM est0)"""
+
 
 def query(sql: str | None = None, digits: int = 9):
     """Register a query under its function's name; doubles are rounded on both sides, as sums differ in their last bits."""
@@ -215,14 +227,16 @@ def hour_parse(spark, d):
     return e.select("event_id", *(X.hour_day(t).alias(f"{n}_day") for n, t in forms.items()), *(X.hour_of_day(t).alias(f"{n}_hod") for n, t in forms.items()))
 
 
-@query()
+@query(f"WITH {LOG}, {HASHES}, rows_ AS (SELECT DISTINCT l.split, l.feature, h.crc FROM longform l JOIN hashes h USING (feature, value)), {HLL.format(by='split, feature', rows='rows_')} SELECT split, feature, {_r('estimate', 6)} AS estimate FROM est", digits=6)
 def hll_distinct(spark, d):
-    """Estimated distinct values by split and feature, from registers (no CRC in the SQL engine to compare with)."""
+    """Estimated distinct values by split and feature, from registers."""
     long = profile.long_form(canon_events(spark, d), EVENT_FEATURES)
     return sketches.hll_estimate(sketches.hll_registers(long, ["split", "feature"]), ["split", "feature"])
 
 
-@query()
+@query(f"""WITH {LOG}, {HASHES}, t AS (SELECT DISTINCT l.feature, h.crc, h.adler FROM longform l JOIN hashes h USING (feature, value) WHERE split = 'train'),
+bits AS (SELECT feature, crc & 67108863 AS bit FROM t UNION SELECT feature, adler & 67108863 FROM t), later AS (SELECT DISTINCT l.feature, l.value, h.crc & 67108863 AS b1, h.adler & 67108863 AS b2 FROM longform l JOIN hashes h USING (feature, value) WHERE split <> 'train')
+SELECT feature, (feature, b1) IN (SELECT (feature, bit) FROM bits) AND (feature, b2) IN (SELECT (feature, bit) FROM bits) AS may_contain, count(*) AS n FROM later GROUP BY ALL""")
 def bloom_novelty(spark, d):
     """Values of later splits that a train filter may hold, by feature."""
     long = profile.long_form(canon_events(spark, d), EVENT_FEATURES)
@@ -268,7 +282,8 @@ def bootstrap_ctr(spark, d):
     return metrics.bootstrap_mean(scored_events(spark, d), "_id", "y_true", 50)
 
 
-@query()
+@query(f"""WITH {LOG}, {SCORED}, g AS (SELECT round(0.5 + 0.05 * i, 2)::DOUBLE AS temperature FROM range(51) t(i)), x AS (SELECT temperature, y, 1 / (1 + exp(-ln(p / (1 - p)) / temperature)) AS q FROM scored, g),
+m AS (SELECT temperature, avg(-(y * ln(q) + (1 - y) * ln(1 - q))) AS logloss FROM x GROUP BY ALL) SELECT {_r('temperature')} AS temperature, {_r('logloss')} AS logloss FROM m ORDER BY m.logloss, m.temperature LIMIT 1""")
 def temperature_fit(spark, d):
     return metrics.temperature(scored_events(spark, d))
 
@@ -349,6 +364,139 @@ def cross_day_windows(spark, d):
     return features.cross_day(e, "user_id", "day", ["n"])
 
 
+@query(f"WITH {LOG}, {HASHES} SELECT feature, value, crc, adler, {_r("CAST(concat('0x', substr(md5(concat('split_v1|', value)), 1, 8)) AS BIGINT) / 4294967296.0", 12)} AS unit FROM hashes", digits=12)
+def value_hashes(spark, d):
+    """Every distinct value with its three stable hashes."""
+    v = profile.long_form(canon_events(spark, d), EVENT_FEATURES).select("feature", "value").distinct()
+    return v.select("feature", "value", F.crc32(F.encode("value", "UTF-8")).alias("crc"), X.adler32(F.col("value")).alias("adler"), X.unit_hash("split_v1", F.col("value")).alias("unit"))
+
+
+@query(f"""WITH {LOG}, {HASHES}, rows_ AS (SELECT DISTINCT c.split, c.feature, h.crc FROM cube c JOIN hashes h USING (feature, value) WHERE c.split <> 'train' AND c.value <> '{MISSING}' AND NOT EXISTS (SELECT 1 FROM ranked r WHERE r.rank <= {VOCAB} AND r.feature = c.feature AND r.value = c.value)),
+{HLL.format(by='split, feature', rows='rows_')} SELECT split, feature, {_r('estimate', 6)} AS estimate FROM est""", digits=6)
+def oov_approx_distinct(spark, d):
+    """Estimated distinct values of valid and test that the train vocabulary lacks."""
+    c = _cube(spark, d)
+    out = c.where(f"split <> 'train' AND value <> '{MISSING}'").join(profile.vocabulary(c, VOCAB), ["feature", "value"], "left_anti")
+    return sketches.hll_estimate(sketches.hll_registers(out, ["split", "feature"]), ["split", "feature"])
+
+
+@query(f"WITH {LOG}, {HASHES} SELECT l._id, CAST(a.crc % 1000 AS BIGINT) AS user_id, CAST(b.crc % 10000 AS BIGINT) AS k FROM log l JOIN hashes a ON a.feature = 'user_id' AND a.value = l.user_id JOIN hashes b ON b.feature = 'k' AND b.value = l.k")
+def hash_encoding(spark, d):
+    m = features.FeatureMap([features.FeatureSpec("user_id", "hash", {"hash_size": 1000}), features.FeatureSpec("k", "hash")])
+    return m.fit_transform(canon_events(spark, d).select("_id", "user_id", "k")).select("_id", F.col("user_id").cast("long").alias("user_id"), F.col("k").cast("long").alias("k"))
+
+
+@query("SELECT event_id, CAST(dayofweek(ts) + 1 AS INT) AS day_of_week, CAST(hour(ts) AS INT) AS hour_of_day FROM events")
+def calendar_encoding(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return e.select("event_id", *(c.alias(n) for n, c in features.calendar(F.col("ts")).items()))
+
+
+@query("SELECT user_id, array_to_string(list(event_type ORDER BY i), '>') AS path FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE i > n - 5 GROUP BY user_id")
+def sequence_encoding(spark, d):
+    """The last five items of a joined sequence, by the encoder."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    joined = features.build_sequences(e, "user_id", "ts", "event_type", "event_id", 50).select("user_id", F.array_join("sequence", ",").alias("path"))
+    m = features.FeatureMap([features.FeatureSpec("path", "sequence", {"max_len": 5, "sep": ","})])
+    return m.fit_transform(joined).select("user_id", F.array_join("path", ">").alias("path"))
+
+
+@query(f"""WITH {LOG}, {SCORED}, r AS (SELECT abs(y - p) - abs(y - 0.2) AS x, b, CAST(concat('0x', substr(md5(concat('bootstrap_v1|', _id, ':', b)), 1, 8)) AS BIGINT) / 4294967296.0 AS u FROM scored, range(50) t(b)),
+m AS (SELECT b, sum(x * {_POISSON}) / sum({_POISSON}) AS m FROM r GROUP BY b), p AS (SELECT least(1.0, 2 * least(avg((m <= 0)::INT), avg((m >= 0)::INT))) AS p_value FROM m)
+SELECT {_r('(SELECT avg(abs(y - p) - abs(y - 0.2)) FROM scored)')} AS difference, {_r('p_value')} AS p_value, p_value < 0.05 AS significant FROM p""")
+def significance_test(spark, d):
+    """Is the score's absolute error another than that of a constant?"""
+    y = F.col("y_true")
+    rows = scored_events(spark, d).select("_id", F.abs(y - F.col("y_pred")).alias("a"), F.abs(y - 0.2).alias("b"))
+    return metrics.significance(rows, "_id", "a", "b", 50)
+
+
+@query(f"""WITH {LOG}, {SCORED}, {EVAL}, e AS (SELECT a.grp, auc, logloss, ece, mce, ks FROM a JOIN l USING (grp) JOIN c USING (grp) JOIN k USING (grp)), m AS (UNPIVOT e ON auc, logloss, ece, mce, ks INTO NAME metric VALUE v)
+SELECT x.metric, {_r('x.v')} AS offline, {_r('y.v')} AS online, {_r('x.v - y.v')} AS gap, {_r('x.v / y.v')} AS ratio FROM m x JOIN m y ON x.metric = y.metric AND x.grp = 'valid' AND y.grp = 'test'""")
+def offline_online_gap(spark, d):
+    names = ["auc", "logloss", "ece", "mce", "ks"]
+    m = metrics.evaluate(scored_events(spark, d), "split").unpivot("group", names, "metric", "value")
+    return metrics.offline_online_gap(m.where("group = 'valid'"), m.where("group = 'test'"))
+
+
+@query("""SELECT auction_id, CAST(slot AS INT) AS slot, bidder_id, l_linenumber, l_partkey, round(bid_price, 6) AS bid_price, round(price, 6) AS price, round(price * 0.1, 6) AS platform_fee
+FROM (SELECT *, coalesce(max(CASE WHEN slot = 3 THEN bid_price END) OVER (PARTITION BY auction_id), 1000.0) AS price FROM (SELECT l_orderkey AS auction_id, l_suppkey AS bidder_id, l_linenumber, l_partkey, l_extendedprice AS bid_price,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_suppkey, l_linenumber, l_partkey) AS slot FROM lineitem WHERE l_extendedprice >= 1000)) WHERE slot <= 2""", digits=6)
+def vcg_auction(spark, d):
+    """Two slots, a reserve and a platform fee."""
+    return auction.simulate(_bids(spark, d), ["bidder_id", "l_linenumber", "l_partkey"], 2, "vcg", reserve=1000.0, fee=0.1)
+
+
+@query("SELECT event_id, round(pctr * 1000, 9) AS ecpm, round(pctr * pcvr * 20, 9) AS cpa, round(pctr * pcvr * value / 2, 9) AS roi, round(sqrt(pctr), 9) AS custom FROM (SELECT event_id, value, (event_id % 100) / 1000.0::DOUBLE AS pctr, (user_id % 10) / 10.0::DOUBLE AS pcvr FROM events)")
+def bid_strategies(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    pctr, pcvr, value = (F.col("event_id") % 100) / 1000, (F.col("user_id") % 10) / 10, F.col("value")
+    bid = lambda s, **k: auction.bid_price(s, pctr, pcvr, value, **k)
+    return e.select("event_id", bid("ecpm").alias("ecpm"), bid("cpa", target_cpa=20.0).alias("cpa"), bid("roi", target_roi=2.0).alias("roi"), bid(lambda p, *_: F.sqrt(p)).alias("custom"))
+
+
+@query("SELECT count(DISTINCT l_orderkey) AS total_auctions, count(*) AS total_bids, count(*) FILTER (l_linestatus = 'O') AS total_impressions, count(*) FILTER (l_returnflag = 'R') AS total_clicks, count(*) FILTER (l_linenumber = 1) AS total_conversions, min(l_orderkey) AS start_time, max(l_orderkey) AS end_time FROM lineitem")
+def auction_stream_totals(spark, d):
+    """Bids nested under their auctions, and the totals of that stream."""
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
+    key = F.col("l_orderkey")
+    bids = li.select(key.alias("auction_id"), key.alias("timestamp"), F.col("l_suppkey").alias("bidder_id"), F.col("l_extendedprice").alias("bid_price"), (F.col("l_linestatus") == "O").alias("impression"), (F.col("l_returnflag") == "R").alias("click"), (F.col("l_linenumber") == 1).alias("conversion"))
+    return auction.stream_totals(auction.build_auctions(bids, ["auction_id", "timestamp"]))
+
+
+_FOLD = """WITH RECURSIVE {first}, f AS (SELECT {by}, i, cost, cost <= {limit} AS accepted, CASE WHEN cost <= {limit} THEN cost ELSE 0.0 END AS spent FROM e WHERE i = 1
+UNION ALL SELECT {eby}, e.i, e.cost, f.spent + e.cost <= {limit}, CASE WHEN f.spent + e.cost <= {limit} THEN f.spent + e.cost ELSE f.spent END FROM f JOIN e ON {on} AND e.i = f.i + 1)
+SELECT {by}, round(max(spent), 4) AS spent, count(*) FILTER (accepted) AS accepted, count(*) AS events, round({limit} - max(spent), 4) AS remaining, round(max(spent) / {limit}, 4) AS utilization FROM f GROUP BY {by}"""
+
+
+@query(_FOLD.format(by="bidder_id", eby="e.bidder_id", on="e.bidder_id = f.bidder_id", limit="1048576.0", first="""w AS (SELECT l_orderkey AS auction_id, l_suppkey AS bidder_id, row_number() OVER o AS slot, coalesce(lead(l_extendedprice) OVER o, 0.0) AS cost FROM lineitem WINDOW o AS (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_suppkey, l_linenumber, l_partkey)),
+e AS (SELECT *, row_number() OVER (PARTITION BY bidder_id ORDER BY auction_id) AS i FROM w WHERE slot = 1)"""), digits=4)
+def auction_replay(spark, d):
+    """Second-price auctions, then greedy budgets of the winners in auction order."""
+    return pipelines.replay(_bids(spark, d), ["bidder_id", "l_linenumber", "l_partkey"], 1_048_576.0)
+
+
+@query(_FOLD.format(by="budget_id, day", eby="e.budget_id, e.day", on="e.budget_id = f.budget_id AND e.day = f.day", limit="128.0", first="e AS (SELECT user_id % 20 AS budget_id, CAST(strftime(ts, '%Y%m%d') AS INT) AS day, value / 10 AS cost, row_number() OVER (PARTITION BY user_id % 20, strftime(ts, '%Y%m%d') ORDER BY event_id) AS i FROM events)"), digits=4)
+def daily_budgets(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").select((F.col("user_id") % 20).alias("budget_id"), F.date_format("ts", "yyyyMMdd").cast("int").alias("day"), "event_id", (F.col("value") / 10).alias("cost"))
+    return auction.budget_state(auction.spend_budgets(e, 128.0, ["budget_id", "day"], ["event_id"]), 128.0, ["budget_id", "day"])
+
+
+@query(f"""SELECT CAST(event_id AS VARCHAR) AS _id, CAST(strftime(ts, '%Y%m%d') AS INT) AS _day, CAST(hour(ts) AS SMALLINT) AS _hod, CAST(event_type = 'click' AS TINYINT) AS _label_click, CAST(user_id AS VARCHAR) AS "C14",
+coalesce(nullif(json_extract_string(props, '$.k'), '0'), '{MISSING}') AS site_domain, '{MISSING}' AS site_id FROM events""")
+def canonical_log(spark, d):
+    """Raw rows with an aliased, a partly missing and an absent feature, brought into canonical form."""
+    k = F.get_json_object("props", "$.k")
+    raw = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("id"), (F.col("event_type") == "click").cast("int").alias("click"), F.date_format("ts", "yyMMddHH").alias("hour"), F.col("user_id").alias("C14"), F.when(k != "0", k).alias("C4"))
+    return ClickLogSource(features=["C14", "site_domain", "site_id"]).canonicalize(raw)
+
+
+@query("SELECT strftime(ts, '%Y%m%d%H') AS hour, count(*) AS impressions, count(*) FILTER (event_type = 'click') AS clicks FROM events GROUP BY ALL")
+def stream_ctr_windows(spark, d):
+    """Rates by event-time window, computed by a stream."""
+    rates = streams.to_table(streams.ctr_windows(streams.read_stream(spark, d, "events.parquet"), width="1 hour"), "ctr_windows", "complete")
+    return rates.select(F.date_format("start", "yyyyMMddHH").alias("hour"), "impressions", "clicks")
+
+
+@query(f"WITH {LOG} SELECT feature, value, CAST(sum(n_rows) AS BIGINT) AS count FROM cube GROUP BY ALL")
+def stream_running_counts(spark, d):
+    long = profile.long_form(event_log(streams.read_stream(spark, d, "events.parquet")), EVENT_FEATURES)
+    return streams.to_table(streams.running_counts(long), "running_counts", "complete")
+
+
+@query(f"WITH {LOG} SELECT DISTINCT feature, value FROM cube")
+def stream_first_seen(spark, d):
+    long = profile.long_form(event_log(streams.read_stream(spark, d, "events.parquet")), EVENT_FEATURES).select("feature", "value")
+    return streams.to_table(streams.first_seen(long), "first_seen")
+
+
+@query("""WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 12 HOUR, '%Y-%m-%d %H:%M:%S') AS "end", count(*) AS events FROM b GROUP BY user_id, s""")
+def user_sessions(spark, d):
+    form = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return streams.sessions(spark.read.parquet(f"{d}/events.parquet"), gap="12 hours").select("user_id", form("start"), form("end"), "events")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -16,3 +18,11 @@ def build_session(app: str = "clickloom", **conf: str) -> SparkSession:
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
     } | conf
     return SparkSession.builder.appName(app).config(map=settings).getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="clickloom-"))
+    return sc.getCheckpointDir()

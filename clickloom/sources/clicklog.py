@@ -229,7 +229,11 @@ def mini_batches(df: DataFrame, size: int = 32, shuffle: bool = False, seed: int
 
 def canon_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table as a canonical log with features user_id, k, value_bin, hour_str, and its split."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return event_log(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def event_log(e: DataFrame) -> DataFrame:
+    """Rows of the event table, batch or stream, in canonical form."""
     k = F.get_json_object("props", "$.k")
     log = e.select(
         F.col("event_id").cast("string").alias("_id"),

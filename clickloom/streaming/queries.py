@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..session import shared_dir
+
 
 def read_stream(spark: SparkSession, path: str, pattern: str = "*.parquet", files: int = 100) -> DataFrame:
     """A stream of the parquet files that come into a folder."""
@@ -61,3 +64,18 @@ def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Run over what is there into a table of the shared folder, and read it.
+
+    In mode complete every micro-batch replaces the table.  Rows never pass through the driver.
+    """
+    path = f"{shared_dir(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    w = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{path}-progress")
+    if mode == "complete":
+        w = w.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path))
+    else:
+        w = w.format("parquet").option("path", path)
+    w.start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
