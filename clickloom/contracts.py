@@ -153,6 +153,20 @@ def load_config(path: str) -> dict:
     return merged(out, own)
 
 
+def dump_config(config: dict, path: str) -> None:
+    """Write a configuration as YAML or, by its ending, JSON; ``load_config`` reads it back."""
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    if path.endswith(".json"):
+        text = json.dumps(config, indent=2, default=str)
+    else:
+        try:
+            import yaml
+        except ImportError as e:
+            raise ImportError("YAML configurations need PyYAML") from e
+        text = yaml.safe_dump(config, sort_keys=False, allow_unicode=True)
+    Path(path).write_text(text, encoding="utf-8")
+
+
 def merged(a: dict, b: dict) -> dict:
     return a | {k: merged(a[k], v) if isinstance(v, dict) and isinstance(a.get(k), dict) else v for k, v in b.items()}
 
@@ -196,3 +210,12 @@ def run_metrics(spark, root: str):
     m = spark.read.option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "metrics.json").schema(", ".join(f"{n} double" for n in names)).json(root)
     own = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
     return m.select(own.alias("run_id"), *names).unpivot("run_id", names, "metric", "value").where("value is not null")
+
+
+def compare_runs(spark, root: str, first: str, second: str):
+    """metric, first, second, difference of two runs; a metric that one run lacks is null there."""
+    from pyspark.sql import functions as F
+
+    m = run_metrics(spark, root)
+    side = lambda run, name: m.where(F.col("run_id") == run).select("metric", F.col("value").alias(name))
+    return side(first, "first").join(side(second, "second"), "metric", "full").withColumn("difference", F.col("second") - F.col("first"))

@@ -94,15 +94,15 @@ def vocabulary(c: DataFrame, k: int) -> DataFrame:
 
 
 def out_of_vocabulary(c: DataFrame, vocab_k: int = 2000) -> DataFrame:
-    """split, feature, vocab_k, oov_row_rate, oov_unique: values of valid and test that the train vocabulary lacks.
+    """split, feature, vocab_k, oov_row_rate, oov_unique_est (exact): values of valid and test that the train vocabulary lacks.
 
     Missing values are not out of vocabulary, but count as rows.
     """
     counts = c.where("split <> 'train'").groupBy("split", "feature", "value").agg(F.sum("n_rows").alias("n"))
     known = counts.join(vocabulary(c, vocab_k).withColumn("known", F.lit(True)), ["feature", "value"], "left")
     out = F.col("known").isNull() & (F.col("value") != MISSING)
-    g = known.groupBy("split", "feature").agg(F.sum(F.when(out, F.col("n")).otherwise(0)).alias("oov"), F.sum("n").alias("n"), F.count(F.when(out, F.lit(1))).alias("oov_unique"))
-    return g.select("split", "feature", F.lit(vocab_k).alias("vocab_k"), ratio(F.col("oov"), F.col("n")).alias("oov_row_rate"), "oov_unique")
+    g = known.groupBy("split", "feature").agg(F.sum(F.when(out, F.col("n")).otherwise(0)).alias("oov"), F.sum("n").alias("n"), F.count(F.when(out, F.lit(1))).alias("oov_unique_est"))
+    return g.select("split", "feature", F.lit(vocab_k).alias("vocab_k"), ratio(F.col("oov"), F.col("n")).alias("oov_row_rate"), "oov_unique_est")
 
 
 def binned(c: DataFrame, bins: DataFrame) -> DataFrame:

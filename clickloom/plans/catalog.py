@@ -126,7 +126,7 @@ def min_k_train(spark, d):
 
 
 @query(f"""WITH {LOG}, v AS (SELECT c.split, c.feature, c.value, c.n_rows, (r.value IS NULL AND c.value <> '{MISSING}') AS oov FROM cube c LEFT JOIN (SELECT * FROM ranked WHERE rank <= {VOCAB}) r ON c.feature = r.feature AND c.value = r.value WHERE c.split <> 'train')
-SELECT split, feature, CAST({VOCAB} AS INT) AS vocab_k, {_r('sum(CASE WHEN oov THEN n_rows ELSE 0 END) / sum(n_rows)')} AS oov_row_rate, count(DISTINCT CASE WHEN oov THEN value END) AS oov_unique FROM v GROUP BY split, feature""")
+SELECT split, feature, CAST({VOCAB} AS INT) AS vocab_k, {_r('sum(CASE WHEN oov THEN n_rows ELSE 0 END) / sum(n_rows)')} AS oov_row_rate, count(DISTINCT CASE WHEN oov THEN value END) AS oov_unique_est FROM v GROUP BY split, feature""")
 def oov_vs_train_vocab(spark, d):
     return profile.out_of_vocabulary(_cube(spark, d), VOCAB)
 
@@ -449,17 +449,17 @@ UNION ALL SELECT {eby}, e.i, e.cost, f.spent + e.cost <= {limit}, CASE WHEN f.sp
 SELECT {by}, round(max(spent), 4) AS spent, count(*) FILTER (accepted) AS accepted, count(*) AS events, round({limit} - max(spent), 4) AS remaining, round(max(spent) / {limit}, 4) AS utilization FROM f GROUP BY {by}"""
 
 
-@query(_FOLD.format(by="bidder_id", eby="e.bidder_id", on="e.bidder_id = f.bidder_id", limit="1048576.0", first="""w AS (SELECT l_orderkey AS auction_id, l_suppkey AS bidder_id, row_number() OVER o AS slot, coalesce(lead(l_extendedprice) OVER o, 0.0) AS cost FROM lineitem WINDOW o AS (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_suppkey, l_linenumber, l_partkey)),
+@query(_FOLD.format(by="bidder_id", eby="e.bidder_id", on="e.bidder_id = f.bidder_id", limit="1000003.0", first="""w AS (SELECT l_orderkey AS auction_id, l_suppkey AS bidder_id, row_number() OVER o AS slot, coalesce(lead(l_extendedprice) OVER o, 0.0) AS cost FROM lineitem WINDOW o AS (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_suppkey, l_linenumber, l_partkey)),
 e AS (SELECT *, row_number() OVER (PARTITION BY bidder_id ORDER BY auction_id) AS i FROM w WHERE slot = 1)"""), digits=4)
 def auction_replay(spark, d):
     """Second-price auctions, then greedy budgets of the winners in auction order."""
-    return pipelines.replay(_bids(spark, d), ["bidder_id", "l_linenumber", "l_partkey"], 1_048_576.0)
+    return pipelines.replay(_bids(spark, d), ["bidder_id", "l_linenumber", "l_partkey"], 1_000_003.0)
 
 
-@query(_FOLD.format(by="budget_id, day", eby="e.budget_id, e.day", on="e.budget_id = f.budget_id AND e.day = f.day", limit="128.0", first="e AS (SELECT user_id % 20 AS budget_id, CAST(strftime(ts, '%Y%m%d') AS INT) AS day, value / 10 AS cost, row_number() OVER (PARTITION BY user_id % 20, strftime(ts, '%Y%m%d') ORDER BY event_id) AS i FROM events)"), digits=4)
+@query(_FOLD.format(by="budget_id, day", eby="e.budget_id, e.day", on="e.budget_id = f.budget_id AND e.day = f.day", limit="97.0", first="e AS (SELECT user_id % 20 AS budget_id, CAST(strftime(ts, '%Y%m%d') AS INT) AS day, value / 10 AS cost, row_number() OVER (PARTITION BY user_id % 20, strftime(ts, '%Y%m%d') ORDER BY event_id) AS i FROM events)"), digits=4)
 def daily_budgets(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet").select((F.col("user_id") % 20).alias("budget_id"), F.date_format("ts", "yyyyMMdd").cast("int").alias("day"), "event_id", (F.col("value") / 10).alias("cost"))
-    return auction.budget_state(auction.spend_budgets(e, 128.0, ["budget_id", "day"], ["event_id"]), 128.0, ["budget_id", "day"])
+    return auction.budget_state(auction.spend_budgets(e, 97.0, ["budget_id", "day"], ["event_id"]), 97.0, ["budget_id", "day"])
 
 
 @query(f"""SELECT CAST(event_id AS VARCHAR) AS _id, CAST(strftime(ts, '%Y%m%d') AS INT) AS _day, CAST(hour(ts) AS SMALLINT) AS _hod, CAST(event_type = 'click' AS TINYINT) AS _label_click, CAST(user_id AS VARCHAR) AS "C14",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import auction, drift, profile, significance
-from ..sources.clicklog import build_source, read_canonical
+from ..sources.clicklog import build_source, read_auctions, read_canonical
 
 # The pairs whose interaction is reported by default.
 DEFAULT_PAIRS = [("site_id", "app_id"), ("site_domain", "app_domain"), ("app_id", "device_model"), ("C14", "C17")]
@@ -70,3 +70,10 @@ def replay(bids: DataFrame, order: list[str], budget: float, slots: int = 1, rul
     won = auction.simulate(bids, order, slots, rule)
     spent = auction.spend_budgets(won.withColumn("cost", F.col("price")), budget, ["bidder_id"], ["auction_id", "slot"])
     return auction.budget_state(spent, budget, ["bidder_id"])
+
+
+def replay_stream(spark: SparkSession, stream: str, out: str, budget: float, slots: int = 1, rule: str = "second_price") -> int:
+    """Replay a recorded auction stream into a table of budgets by bidder; how many bidders won."""
+    bids = read_auctions(spark, stream).select("auction_id", F.explode("bids").alias("b")).select("auction_id", "b.bidder_id", "b.bid_price")
+    replay(bids, ["bidder_id"], budget, slots, rule).write.mode("overwrite").parquet(out)
+    return spark.read.parquet(out).count()

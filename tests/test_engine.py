@@ -10,7 +10,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from clickloom import contracts, schema
+from clickloom import cli, contracts, reports, schema
 from clickloom.functions import scalar as X
 from clickloom.operators import auction, drift, features, metrics, profile, significance, sketches, validate
 from clickloom.plans import pipelines
@@ -117,7 +117,7 @@ def test_missing_and_ties(spark):
     assert profile.coverage(c, [4], 4).first()["coverage_non_missing"] == 8 / 5
     assert profile.coverage(c, [3], 3, exclude_missing=True).first()["coverage_non_missing"] == 1.0
     r = profile.out_of_vocabulary(c, 3).first()
-    assert (r["oov_row_rate"], r["oov_unique"]) == (1 / 3, 1)
+    assert (r["oov_row_rate"], r["oov_unique_est"]) == (1 / 3, 1)
     assert {r["bin"] for r in drift.psi_components(c, 1).collect()} == {m, schema.OTHER}
     assert profile.ctr_by_day(log).where("split = 'test'").count() == 0
 
@@ -255,3 +255,37 @@ def test_auc_and_ks_across_slices(spark):
         auc = sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg))
         ks = max(abs(sum(p <= t for p in pos) / len(pos) - sum(n <= t for n in neg) / len(neg)) for t in pos + neg)
         assert math.isclose(got[g]["auc"], auc) and math.isclose(got[g]["ks"], ks)
+
+
+def test_reports(spark, tmp_path):
+    df = spark.createDataFrame([("a|b", 0.1234567, None), ("c", 2.0, 3)], "k string, x double, n int")
+    text = reports.build_report("Run", {"t": df, "long": spark.range(5)}, f"{tmp_path}/r/report.md", rows=3)
+    assert "| a\\|b | 0.123457 |  |" in text and text.count("(the first 3 rows)") == 1
+    assert (tmp_path / "r" / "report.md").read_text() == text
+    assert reports.save_tables({"t": df}, f"{tmp_path}/tables") == ["t"] and (tmp_path / "tables" / "outputs.txt").read_text() == f"{tmp_path}/tables/t\n"
+    assert reports.save_curve(df, f"{tmp_path}/c/x.csv") == 2 and (tmp_path / "c" / "x.csv").read_text().splitlines()[2] == "c,2.0,3"
+    assert reports.save_curve(df.limit(0), f"{tmp_path}/c/none.csv") == 0
+
+
+def test_command_line(spark, tmp_path, store):
+    root, config, totals = store
+    contracts.dump_config(config, f"{tmp_path}/config.json")
+    assert contracts.load_config(f"{tmp_path}/config.json") == config
+    assert cli.main(["materialize", f"{tmp_path}/config.json", f"{tmp_path}/log"], spark) == totals
+    assert spark.read.option("header", True).csv(f"{tmp_path}/log_files_index").columns == ["split", "day", "file", "rows"]
+    assert len(cli.main(["load", f"{tmp_path}/config.json", "--rows", "2"], spark)["first"]) == 2
+    assert cli.main(["validate", f"{tmp_path}/log"], spark)["ok"]
+    df = spark.createDataFrame([("a", "x", 5.0), ("a", "y", 9.0), ("b", "x", 4.0)], "auction_id string, bidder_id string, bid_price double")
+    C.write_auctions(auction.build_auctions(df, ["auction_id"]), f"{tmp_path}/stream")
+    assert cli.main(["simulate", f"{tmp_path}/stream", f"{tmp_path}/spent", "--budget", "6"], spark) == {"bidders": 2}
+    spark.createDataFrame([(1, 0.9), (0, 0.1)], "y_true int, y_pred double").write.parquet(f"{tmp_path}/scored")
+    assert cli.main(["evaluate", f"{tmp_path}/scored"], spark)[metrics.ALL]["auc"] == 1.0
+    runs = [contracts.RunFolder(f"{tmp_path}/runs", n) for n in "ab"]
+    for r, auc in zip(runs, (0.5, 0.75)):
+        r.save_config({})
+        r.save_metrics(contracts.Metrics(auc=auc))
+    assert [r["run_id"] for r in cli.main(["runs", f"{tmp_path}/runs"], spark)["runs"]] == [r.id for r in runs]
+    assert cli.main(["compare", f"{tmp_path}/runs", runs[0].id, runs[1].id], spark)["metrics"] == [{"metric": "auc", "first": 0.5, "second": 0.75, "difference": 0.25}]
+    assert os.path.exists(cli.main(["export", f"{tmp_path}/runs", runs[0].id, f"{tmp_path}/a.zip"], spark)["file"])
+    with pytest.raises(FileNotFoundError):
+        reports.export_run(f"{tmp_path}/runs", "none", f"{tmp_path}/b.zip")
