@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import lower_ascii, shuffles, written
@@ -10,11 +10,15 @@ from .common import lower_ascii, shuffles, written
 KEY = ["_sha", "_chk", "_len"]
 
 
+def normal(text_col: str) -> Column:
+    """The text that is compared: A-Z lower-cased, null as empty."""
+    return lower_ascii(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, SHA-256 of the normalised text, and two independent checks of it."""
-    norm = lower_ascii(F.coalesce(F.col(text_col), F.lit("")))
     return (
-        docs.select(F.col(id_col).cast("long").alias("_id"), norm.alias("_norm"))
+        docs.select(F.col(id_col).cast("long").alias("_id"), normal(text_col).alias("_norm"))
         .select(
             "_id",
             F.unhex(F.sha2("_norm", 256)).alias("_sha"),

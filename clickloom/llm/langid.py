@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import crc_bucket, small_batches
 
@@ -93,13 +94,14 @@ def learn(rows: DataFrame, seed: int = 7, dim: int = DIM) -> tuple[list[str], np
     return langs, prototypes
 
 
-def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, seed: int = 7, dim: int = DIM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, seed: int = 7, dim: int = DIM, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
     """Predict the language of every whole text: doc_id, lang_pred, score.
 
     A document is the bundle of its trigram vectors; its language is the prototype with
     the largest cosine, which is the score (0 where negative).  Ties go to the first
     language by name.  Null texts, and texts without a letter, give ``und`` and 0.0, as do
-    all texts if no language was learned.  Ids are passed through, null or repeated.
+    all texts if no language was learned.  Ids are passed through, null or repeated.  With
+    ``whole``, all columns of a row come along in a struct ``row``.
     """
     small_batches(docs.sparkSession)
     langs_, protos = list(langs), prototypes
@@ -137,18 +139,21 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, seed: int
                         settle()
                         size = 0
             settle()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), *batch.columns[2:]], ["doc_id", "lang_pred", "score", *batch.schema.names[2:]])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    rest = [F.struct(*docs.columns).alias("row")] if whole else []
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *rest)
+    return rows.mapInArrow(run, StructType([*StructType.fromDDL("doc_id long, lang_pred string, score double"), *rows.schema[2:]]))
 
 
-def identify(docs: DataFrame, train: DataFrame | None = None) -> DataFrame:
+def identify(docs: DataFrame, train: DataFrame | None = None, whole: bool = False) -> DataFrame:
     """Learn from documents whose crc32(doc_id) mod 4 is not 2, then predict all of ``docs``.
 
-    Returns doc_id, held_out, lang_pred, score.  A null doc_id is never held out.
+    Returns doc_id, held_out, lang_pred, score, and with ``whole`` the struct row of all
+    columns.  A null doc_id is never held out.
     """
     train = docs if train is None else train
     small_batches(docs.sparkSession)
     langs, prototypes = learn(train.where(F.coalesce(crc_bucket(F.col("doc_id"), 4), F.lit(0)) != 2))
     held = F.coalesce(crc_bucket(F.col("doc_id"), 4) == 2, F.lit(False))
-    return predict(docs, langs, prototypes).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    return predict(docs, langs, prototypes, whole=whole).select("doc_id", held.alias("held_out"), "lang_pred", "score", *(["row"] if whole else []))

@@ -153,7 +153,7 @@ def _spans(rule: Rule, index: int, text: Column) -> Column:
     return F.filter(F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"]), lambda x: x["ok"])
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
     """Find secrets in every whole text: doc_id, spans (array of start, kind index, end, by start, then kind).
 
     Null text counts as empty.  Rows of equal id are scanned each for itself; a row with a
@@ -162,10 +162,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     Rules with mandatory trigrams are verified on documents that the index names; rules
     without (``hex``) are run on every text.
+
+    With ``whole``, the text (empty for null) and a struct ``row`` of the other columns come along.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rest = [F.struct(F.col(text_col).isNull().alias("_no_text"), *(F.col(c) for c in docs.columns if c != text_col)).alias("row")] if whole else []
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *rest)
     keyed = base.withColumn("_key", F.coalesce("doc_id", F.xxhash64("text")))
     named = written(candidates(keyed.where("doc_id is not null"), max(1, base.count() // BLOCK_ROWS)), "secret-candidates")
     joined = keyed.join(named.hint("shuffle_hash"), "_key", "left")
@@ -176,7 +179,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         wanted = mask.bitwiseAND(F.lit(1 << i)) != 0 if rule_query(rule) else F.col("text").rlike("[0-9a-f]{24}" if rule.kind == "hex" else rule.pattern)
         parts.append(F.when(wanted, _spans(rule, i, F.col("text"))).otherwise(none))
     spans = F.transform(F.array_sort(F.concat(*parts)), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
-    return joined.select("doc_id", spans.alias("spans"))
+    return joined.select("doc_id", spans.alias("spans"), *(["text", "row"] if whole else []))
 
 
 def named_spans(spans: Column) -> Column:

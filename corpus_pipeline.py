@@ -7,33 +7,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.llm import exact, langid, ngram_join, packing, secrets
-from clickloom.llm.common import documents, written
+from clickloom.llm.common import documents, join_groups, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a language (``und``); where ``lang`` is null it is filled in."""
-    found = langid.identify(docs).where("lang_pred <> 'und'").groupBy("doc_id").agg(F.first("lang_pred").alias("_lang"))
-    kept = docs.where("doc_id is not null").join(found, "doc_id")
-    return kept.withColumn("lang", F.coalesce("lang", "_lang")).select(*docs.columns)
+    """Drop documents without a language (``und``); where ``lang`` is null it is filled in.
+
+    Every row is decided by its own text, also where ids are null or repeated.
+    """
+    found = langid.identify(docs, whole=True).where("lang_pred <> 'und'")
+    return found.select(*(F.coalesce(F.col("row.lang"), "lang_pred").alias(c) if c == "lang" else F.col(f"row.{c}") for c in docs.columns))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents equal but for the case of A-Z, the one with the largest doc_id stays."""
-    gone = exact.exact_groups(docs).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of rows equal but for the case of A-Z, one with the largest doc_id stays; null is the smallest.
+
+    A row is known by its id and the SHA-256 of its text, so ids may be null or repeated.
+    Of rows that repeat both, the one whose text comes first stays.
+    """
+    at = lambda sha: F.concat_ws(":", F.col("doc_id").cast("long"), sha)
+    groups = exact.exact_groups(docs).where("group_size > 1").groupBy(at(F.col("text_sha256")).alias("_at"))
+    marks = written(groups.agg(F.first("kept").alias("_kept"), F.count(F.lit(1)).alias("_times")).where("not _kept or _times > 1").drop("_times"), "exact-marks")
+    marked = docs.withColumn("_at", at(F.sha2(exact.normal("text"), 256))).join(marks, "_at", "left")
+    out = marked.where("_kept is null").select(*docs.columns)
+    if marks.where("_kept").isEmpty():
+        return out
+    one = marked.where("_kept").groupBy("_at").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("_one"))
+    return out.unionByName(one.select("_one.*"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles with a similarity of 0.8, the one with the smallest doc_id stays."""
-    gone = ngram_join.components(docs, words=5, percent=80).where("component_id <> doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of rows linked by five-word shingles with a similarity of 0.8, one with the smallest doc_id stays; null is the largest.
+
+    The rows are written once with a key, and linked and dropped by it, so ids may be null or repeated.
+    """
+    keyed = written(docs.withColumn("_row", F.monotonically_increasing_id()), "near-input")
+    found = ngram_join.components(keyed.select(F.col("_row").alias("doc_id"), "text"), words=5, percent=80).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
+    members = written(found.join(keyed.select("_row", "doc_id"), "_row"), "near-rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_none"), F.col("doc_id"), F.col("_row")))
+    stay = members.groupBy("_group").agg(first["_row"].alias("_stays"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    gone = join_groups(members.select("_row", "_group"), stay, ["_group"], F.col("_row").cast("string")).where("_stays <> _row").select("_row")
+    return keyed.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Overwrite secrets with asterisks, one for each character; no document goes."""
-    found = written(secrets.scan(docs).where("size(spans) > 0").groupBy("doc_id").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans")), "secrets")
+    """Overwrite secrets with asterisks, one for each character; no document goes.
+
+    Every row is masked by the spans of its own text, also where ids are null or repeated.
+    """
     step = lambda acc, s: F.struct(
         F.greatest(acc["at"], s["end"]).alias("at"),
         F.when(s["end"] <= acc["at"], acc["out"]).otherwise(
@@ -41,8 +64,8 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
         ).alias("out"),
     )
     masked = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    joined = docs.join(found, "doc_id", "left")
-    return joined.withColumn("text", F.when(F.col("spans").isNotNull(), masked).otherwise(F.col("text"))).select(*docs.columns)
+    text = F.when(F.col("row._no_text"), F.lit(None)).when(F.size("spans") > 0, masked).otherwise(F.col("text"))
+    return secrets.scan(docs, whole=True).select(*(text.alias(c) if c == "text" else F.col(f"row.{c}") for c in docs.columns))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

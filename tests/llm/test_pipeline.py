@@ -68,3 +68,39 @@ def test_packing(steps):
 def test_run(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns)
+
+
+LINK = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty and on and on it goes again"
+
+
+def through(spark, stage, rows):
+    """(doc_id, text) of what a stage keeps of such rows."""
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    return sorted(((r["doc_id"], r["text"]) for r in stage(spark, docs, "").collect()), key=repr)
+
+
+def test_language_of_repeated_and_null_ids(spark):
+    rows = [(7, "some words"), (7, "12 34"), (7, "some words"), (None, "other words"), (None, "!!")]
+    assert through(spark, corpus_pipeline.language_stage, rows) == [(7, "some words"), (7, "some words"), (None, "other words")]
+
+
+def test_exact_of_repeated_and_null_ids(spark):
+    rows = [(7, "A"), (7, "B"), (9, "a"), (7, "C"), (7, "C"), (7, "c"), (None, "A"), (None, "D"), (None, "d"), (None, "E"), (None, None), (None, "")]
+    got = through(spark, corpus_pipeline.exact_stage, rows)
+    assert [x for x in got if x[1]] == [(7, "B"), (7, "C"), (9, "a"), (None, "D"), (None, "E")] and len(got) == 6
+
+
+def test_near_of_repeated_and_null_ids(spark):
+    rows = [(7, LINK), (7, "nothing like it"), (5, LINK + " more"), (8, "twice the same"), (8, "twice the same"), (None, LINK + " still"), (None, "of no number"), (None, "of no number"), (None, "alone")]
+    assert through(spark, corpus_pipeline.near_stage, rows) == sorted([(7, "nothing like it"), (5, LINK + " more"), (8, "twice the same"), (None, "of no number"), (None, "alone")], key=repr)
+
+
+def test_secrets_of_repeated_and_null_ids(spark):
+    rows = [(7, "password = hunter22"), (7, "plain text that is longer"), (7, None), (None, "token: abcdef12 x"), (None, "none"), (None, "")]
+    got = through(spark, corpus_pipeline.secret_stage, rows)
+    assert len(got) == 6 and {(7, "plain text that is longer"), (7, None), (None, "none"), (None, "")} <= set(got)
+    for i, t in (rows[0], rows[3]):
+        want = list(t)
+        for s, _, e in secrets.reference_spans(t):
+            want[s:e] = "*" * (e - s)
+        assert "*" in want and (i, "".join(want)) in got
