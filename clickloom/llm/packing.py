@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,7 +66,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "
     """Cut each document (its ids, then the separator) into pieces of at most ``capacity`` tokens.
 
     All pieces but the first are full.  Returns _uid (unique, also where rows share a
-    doc_id), doc_id, piece, start, length, ids_crc32.
+    doc_id), doc_id, piece, start, length, ids (little-endian unsigned 32-bit numbers).
     """
     small_batches(docs.sparkSession)
 
@@ -79,15 +78,15 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "
                 ids = np.array([*encode(text.as_py() or ""), SEPARATOR], "<u4")
                 start, end, k = 0, (len(ids) - 1) % capacity + 1, 0
                 while start < len(ids):
-                    out.append((uid, doc_id, k, start, end - start, zlib.crc32(ids[start:end].tobytes())))
+                    out.append((uid, doc_id, k, start, end - start, ids[start:end].tobytes()))
                     uid += 1
                     start, end, k = end, end + capacity, k + 1
             cols = list(zip(*out)) if out else [[]] * 6
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["_uid", "doc_id", "piece", "start", "length", "ids_crc32"])
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["_uid", "doc_id", "piece", "start", "length", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col)
-    return rows.mapInArrow(run, "_uid long, doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(run, "_uid long, doc_id long, piece int, start long, length long, ids binary")
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -169,11 +168,13 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, rounds:
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack whole documents into as few sequences of at most ``capacity`` tokens as possible.
 
-    Returns per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    Returns per piece: doc_id, piece, start, length, ids, ids_crc32 (derived from them),
+    sequence_id, offset.  A sequence is its pieces' ids by offset.
 
     Null and empty texts are a separator alone.  Rows of equal doc_id are packed as
     documents of their own; a null id stays null.  An empty table gives no pieces.  Other
     columns are not read.
     """
     cut = written(pieces(docs, path, capacity, id_col, text_col), "pieces")
-    return cut.join(pack(cut, capacity), "_uid").drop("_uid")
+    packed = cut.join(pack(cut, capacity), "_uid")
+    return packed.select("doc_id", "piece", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")

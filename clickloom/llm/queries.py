@@ -18,7 +18,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE))
+    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE)).drop("ids")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,6 +97,22 @@ def test_packing(spark, docs, texts):
     assert len(bins) <= -(-sum(r["length"] for r in out.values()) // 2048) + 1
 
 
+def test_packed_ids_are_the_texts(docs, texts):
+    from tokenizers import Tokenizer
+
+    slow, own, bins = Tokenizer.from_file(BYTE), {}, {}
+    for r in packing.pack_documents(docs, BYTE).collect():
+        ids = np.frombuffer(r["ids"], "<u4").tolist()
+        assert len(ids) == r["length"] and r["ids_crc32"] == zlib.crc32(r["ids"])
+        own.setdefault(r["doc_id"], []).append((r["piece"], ids))
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], ids))
+    for i, t in enumerate(texts):
+        ids = [x for _, part in sorted(own[i]) for x in part]
+        assert ids[-1] == 0 and slow.decode(ids[:-1], skip_special_tokens=False) == (t or "")
+    whole = [[x for _, part in sorted(b) for x in part] for b in bins.values()]
+    assert max(map(len, whole)) <= 2048 and sum(w.count(0) for w in whole) >= len(texts)
+
+
 def test_sum_of_squares_choice():
     rng = np.random.default_rng(3)
     items = rng.integers(1, 60, 400)
