@@ -346,6 +346,24 @@ def test_nbest_of_documents(docs, texts):
             assert np.allclose(r["nbest_scores"], want)
 
 
+def test_nbest_ids_and_decoding(spark, docs, texts):
+    lat = nbest.lattice(PIECE)
+    more = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(["  two before", " one before", "▁mark", "\x00\x01 é\u0301", "    "])], "doc_id long, text string")
+    encoded = nbest.encode(docs.select("doc_id", "text").union(more), PIECE)
+    own = table(nbest.decode(encoded, PIECE), "doc_id")
+    digests = table(nbest.segment(docs.select("doc_id", "text").union(more), PIECE), "doc_id")
+    assert len(own) == len(texts) + 5
+    for i, r in own.items():
+        lists = [np.frombuffer(x, "<u4").tolist() for x in r["nbest_ids"]]
+        assert len({tuple(x) for x in lists}) == len(lists) == len(r["nbest_scores"])
+        assert r["decoded"] == [lat.decode(x) for x in lists]
+        d = digests[i]
+        assert d["n_pieces"] == len(lists[0]) and d["nbest_crc32"] == [zlib.crc32(x) for x in r["nbest_ids"]]
+        assert d["round_trip"] == all(x == (r["text"] or "") for x in r["decoded"])
+    some = spark.createDataFrame([(1, [b"", None]), (2, None)], "k int, nbest_ids array<binary>")
+    assert sorted((r["k"], r["decoded"]) for r in nbest.decode(some, PIECE).collect()) == [(1, ["", None]), (2, None)]
+
+
 def test_media(docs, texts):
     out = table(media.media_columns(docs), "doc_id")
     for i, t in enumerate(texts):
