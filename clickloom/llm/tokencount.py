@@ -34,6 +34,17 @@ def model(path: str):
     return _models[path]
 
 
+def pretokens(text: str | None, safe: bool = True) -> list[str]:
+    """Pre-tokens of a text behind the space that the library puts before it; none of an empty one.
+
+    The library takes the space mark in a text for a space, so runs of both are one run.
+    """
+    if not text:
+        return []
+    text = " " + text.replace(MARK, " ")
+    return PRETOKEN.findall(text) if safe else [text]
+
+
 def safe_cuts(sp) -> bool:
     """Whether no piece crosses a boundary of PRETOKEN and the normaliser leaves text as it is."""
     for i in range(sp.get_piece_size()):
@@ -50,7 +61,7 @@ def frequent(docs: DataFrame, path: str, text_col: str = "text") -> dict[str, in
     """Lengths of the most frequent pre-tokens of a bounded sample, as a compact table."""
     counts: Counter = Counter()
     for (text,) in docs.select(text_col).take(SAMPLE_ROWS):
-        counts.update(PRETOKEN.findall(" " + text) if text else ())
+        counts.update(pretokens(text))
     words = [w for w, _ in heapq.nlargest(TABLE_SIZE, counts.items(), key=lambda x: (x[1], x[0]))]
     return dict(zip(words, pretoken_lengths(model(path), words)))
 
@@ -103,7 +114,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "d
                 n = [len(x) for x in sp.encode(texts, num_threads=1)]
             else:
                 # a special string inside a text is ordinary text for this library
-                words = [PRETOKEN.findall(" " + t) if t else [] for t in texts]
+                words = list(map(pretokens, texts))
                 if len(cache) > WORKER_CACHE:
                     cache.clear()
                 missing = list({w for ws in words for w in ws} - known.keys() - cache.keys())
