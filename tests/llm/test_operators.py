@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -147,6 +148,14 @@ def test_token_counts(docs, texts):
         assert (out[i]["n_tokens"], out[i]["n_bytes"], out[i]["over_limit"]) == (n, len((t or "").encode()), n > 4096)
 
 
+def test_token_counts_of_space_marks(spark):
+    """The library takes the space mark in a text for a space."""
+    sp, rng = tokencount.model(PIECE), random.Random(6)
+    made = ["▁  x", " ▁ ▁ x", "a▁▁  b", "▁ ", "▁", "▁▁\n▁ a▁b ▁"] + ["".join(rng.choice(" ▁▁ ab\nhe") for _ in range(rng.randint(1, 30))) for _ in range(400)]
+    out = table(tokencount.count_tokens(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string"), PIECE), "doc_id")
+    assert [out[i]["n_tokens"] for i in range(len(made))] == [len(sp.encode(t)) for t in made]
+
+
 def brute_components(texts, words, percent):
     sets = {}
     for i, t in enumerate(texts):
@@ -314,24 +323,52 @@ def test_exact_dedup_is_the_sql(spark):
 
 def all_segmentations(lat, text):
     if not text:
-        return [(0.0, [])]
+        return [(0, [])]
     out = []
     for k in range(1, len(text) + 1):
-        s = lat.prefix.get(text[:k])
-        s = s if s is not None and s <= 0 else lat.unknown if k == 1 else None
+        hit = lat.score.get(text[:k])
+        s = hit[0] if hit else lat.unknown if k == 1 else None
         if s is not None:
             out += [(s + x, [text[:k], *rest]) for x, rest in all_segmentations(lat, text[k:])]
     return out
 
 
-@pytest.mark.parametrize("word", ["▁hello", "▁fox", "é", "▁日本", "aaaaaa", "▁ther.", "\n", "▁▁▁x"])
+WORDS_ = ["▁hello", "▁fox", "é", "▁日本", "aaaaaa", "▁ther.", "\n", "▁▁▁x", "😀", "▁x😀y"]
+
+
+@pytest.mark.parametrize("word", WORDS_)
 def test_nbest_is_brute_force(word):
     lat = nbest.lattice(PIECE)
-    want = sorted((-s for s, _ in all_segmentations(lat, word)))
+    want = sorted((s for s, _ in all_segmentations(lat, word)), reverse=True)
     got = lat.top(word, 5)
-    assert np.allclose([-s for s, _ in got], want[:5]) and all("".join(p) == word for _, p in got)
-    best, gap, pieces = lat.second_gap(word)
-    assert np.isclose(-best, want[0]) and "".join(pieces) == word and (np.isclose(want[1] - want[0], gap) if len(want) > 1 else gap == np.inf)
+    assert [s for s, _ in got] == want[:5] and all("".join(p) == word for _, p in got)
+    assert len({tuple(p) for _, p in got}) == len(got)
+
+
+def test_two_best_agree_with_the_search():
+    lat, rng = nbest.lattice(PIECE), random.Random(8)
+    words = [*WORDS_, "", *("▁" * rng.randint(0, 2) + "".join(rng.choice("etaoinshrd éß_.日") for _ in range(rng.randint(1, 90))) for _ in range(300))]
+    for w, score, gap, packed in zip(words, *lat.two_best(words)):
+        best, *others = lat.top(w, 2)
+        assert (score, packed) == (best[0], lat.packed(best[1]))
+        assert gap == (best[0] - others[0][0] if others else -1)
+
+
+def test_nbest_of_very_long_words():
+    lat = nbest.lattice(PIECE)
+    for word in ("a" * 200_000, "".join(random.Random(2).choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789+/") for _ in range(200_000))):
+        began = time.process_time()
+        found = lat.top(word, 4)
+        assert len(found) == 4 and all("".join(p) == word for _, p in found) and found[0][0] >= found[3][0]
+        assert time.process_time() - began < 60
+
+
+def test_best_segmentation_mostly_is_the_library_one(spark):
+    sp, lat = tokencount.model(PIECE), nbest.lattice(PIECE)
+    words = [w for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() for w in tokencount.pretokens(r["text"]) if w[0] == " " and w.strip()]
+    distinct = Counter(words)
+    agree = sum(distinct[w] for w, own in zip(distinct, lat.two_best([w.replace(" ", "▁") for w in distinct])[2]) if np.frombuffer(own, "<u4").tolist() == sp.encode(w[1:]))
+    assert agree >= 0.75 * len(words)
 
 
 def test_nbest_of_documents(docs, texts):
@@ -339,11 +376,17 @@ def test_nbest_of_documents(docs, texts):
     out = table(nbest.segment(docs, PIECE), "doc_id")
     for i, t in enumerate(texts):
         r = out[i]
-        assert r["round_trip"] == (lat.decode(lat.ids([p for w in nbest.PRETOKEN.findall(" " + t) for p in lat.top(w.replace(" ", "▁"), 1)[0][1]])) == t if t else True)
+        assert r["round_trip"] == (lat.decode(lat.ids([p for w in nbest.pretokens(t) for p in lat.top(w.replace(" ", "▁"), 1)[0][1]])) == t if t else True)
         assert r["nbest_scores"] == sorted(r["nbest_scores"], reverse=True) and len(set(r["nbest_crc32"])) == len(r["nbest_crc32"])
         if t and len(t) <= 8:
             want = sorted((s for s, _ in all_segmentations(lat, "▁" + t.replace(" ", "▁"))), reverse=True)[:4]
-            assert np.allclose(r["nbest_scores"], want)
+            assert r["nbest_scores"] == [s / nbest.SCALE for s in want]
+
+
+def test_library_ids(docs, texts):
+    sp = tokencount.model(PIECE)
+    out = table(nbest.library_ids(docs, PIECE), "doc_id")
+    assert all(np.frombuffer(out[i]["ids"], "<u4").tolist() == sp.encode(t or "") for i, t in enumerate(texts))
 
 
 def test_nbest_ids_and_decoding(spark, docs, texts):
