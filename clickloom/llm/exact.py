@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, shuffles, written
+from .common import lower_ascii, written
 
 KEY = ["_sha", "_chk", "_len"]
 
@@ -28,35 +28,35 @@ def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def merge_runs(rows: DataFrame, runs: int = 64, fan_in: int = 8, keep: str = "largest") -> DataFrame:
-    """Merge sorted digest runs in rounds until one run is left.
+def merge_runs(rows: DataFrame, runs: int = 64, keep: str = "largest") -> DataFrame:
+    """Merge sorted digest runs in binomial rounds until one run is left.
 
-    Each input partition is the start of one of ``runs`` runs; duplicates inside a
-    partition collapse before anything is shuffled.  In every round ``fan_in`` neighbouring
-    runs meet: their entries are dealt out by (merged run, digest), sorted, and merged, so
-    no task ever holds a whole run and a digest costs each round at most ``fan_in`` rows,
-    however many documents share it.  Entries merge only if digest, check hash and byte
+    Each input partition belongs to one of ``runs`` runs (a power of two); duplicates inside a
+    partition collapse before anything is shuffled, and the partitions of a run are merged into
+    one entry per digest.  In round k, run r and run r + 2**k exchange: their entries are dealt out by
+    (merged run, digest), sorted there, and of neighbours with equal digests one goes on, with the
+    better identifier and both sizes.  So a task never holds a whole run, and a digest has two
+    rows at most in any round, however many documents share it.  Entries merge only if digest, check hash and byte
     length all agree (the verification), and the retained identifier is taken anew at
     every level.  Returns KEY, _keep, _n.
     """
-    spark = rows.sparkSession
-    best = F.max if keep == "largest" else F.min
+    if runs & (runs - 1):
+        raise ValueError("runs must be a power of two")
+    best, first = (F.max, F.col("_keep").desc_nulls_last()) if keep == "largest" else (F.min, F.col("_keep").asc_nulls_last())
     level = (
         rows.withColumn("_run", F.pmod(F.spark_partition_id(), F.lit(runs)))
         .groupBy("_run", *KEY)
         .agg(best("_id").alias("_keep"), F.count(F.lit(1)).alias("_n"))
     )
-    bits = fan_in.bit_length() - 1
-    left = runs
-    while left > 1:
+    merged = Window.partitionBy("_run", *KEY).orderBy(first)  # a sort that the optimiser can't drop
+    for k in range(runs.bit_length() - 1):
+        met = level.withColumn("_run", F.col("_run").bitwiseAND(F.lit(~(1 << k))))
         level = (
-            level.withColumn("_run", F.shiftright("_run", bits))
-            .repartition(shuffles(spark), "_run", "_sha")
-            .sortWithinPartitions("_run", "_sha", "_chk", "_len")
-            .groupBy("_run", "_sha", "_chk", "_len")
-            .agg(best("_keep").alias("_keep"), F.sum("_n").alias("_n"))
+            met.withColumn("_place", F.row_number().over(merged))
+            .withColumn("_n", F.col("_n") + F.coalesce(F.lead("_n").over(merged), F.lit(0)))
+            .where("_place = 1")
+            .drop("_place")
         )
-        left = -(-left // fan_in)
     return level.drop("_run")
 
 

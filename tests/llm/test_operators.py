@@ -314,6 +314,22 @@ def test_exact_groups(docs, texts, keep):
         assert (out[i]["keep_id"], out[i]["group_size"], out[i]["kept"], out[i]["text_sha256"]) == (k, len(g), i == k, hashlib.sha256(lower(t).encode()).hexdigest())
 
 
+def test_exact_merge_sorts_in_every_round(spark):
+    rows = spark.createDataFrame([(i % 37 if i % 11 else None, bytes([i % 23]), i % 23, 1) for i in range(2000)], "_id long, _sha binary, _chk long, _len int").repartition(13)
+    for runs, keep in ((1, "largest"), (8, "largest"), (16, "smallest")):
+        merged = exact.merge_runs(rows, runs, keep)
+        got = {bytes(r["_sha"])[0]: (r["_keep"], r["_n"]) for r in merged.collect()}
+        want = {}
+        for i in range(2000):
+            want.setdefault(i % 23, []).append(i % 37 if i % 11 else None)
+        pick = max if keep == "largest" else min
+        assert got == {k: (pick(x for x in v if x is not None), len(v)) for k, v in want.items()}
+        plan = merged._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        rounds = runs.bit_length() - 1
+        assert len(re.findall(r"\bSort \[", plan)) >= rounds and len(re.findall(r"\bWindow \[", plan)) == rounds
+        assert not re.search("Python|Pandas|Arrow", plan)
+
+
 def test_exact_dedup_is_the_sql(spark):
     from clickloom.llm import queries
 
