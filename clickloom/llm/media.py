@@ -17,8 +17,8 @@ from .common import small_batches, written
 BLOCK = 192
 MIN_CHUNK, MASK_BITS, MAX_CHUNK = 512, 11, 16_384
 SAMPLE_RATE = 8_000
-#: Duplicate chunk references that may be broadcast; beyond it the same join shuffles.
-BROADCAST_ROWS = 200_000
+#: Blocks of the filter that tells which documents may have shared chunks, and 64-bit words in each: 4 MB at any size of the input.
+FILTER_BLOCKS, FILTER_WORDS = 1 << 16, 4
 
 _GEAR = np.random.default_rng(2016).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -79,7 +79,23 @@ def features(payload: bytes) -> str:
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """A key per distinct (id, text) pair: rows that repeat both share one media file."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("_key", F.sha2(F.concat_ws("\x01", F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))), 256).substr(1, 32))
+    own = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit("\x01"), F.coalesce("text", F.lit("")))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("_key", F.sha2(own, 256).substr(1, 32))
+
+
+def _flagged(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows with _maybe: false only if _key is not in ``keys``.
+
+    A Bloom filter in FILTER_BLOCKS rows, which is all that is broadcast, however many keys there are;
+    the more there are, the more other rows are true as well.
+    """
+    h = F.xxhash64("_key")
+    block, word, bit = F.pmod(h, F.lit(FILTER_BLOCKS)), F.pmod(F.shiftrightunsigned(h, 20), F.lit(FILTER_WORDS)), F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(63)).cast("int")
+    one = F.expr("shiftleft(1L, _bit)")
+    sets = keys.select(block.alias("_block"), word.alias("_word"), bit.alias("_bit")).groupBy("_block").agg(*(F.bit_or(F.when(F.col("_word") == w, one).otherwise(F.lit(0).cast("long"))).alias(f"_w{w}") for w in range(FILTER_WORDS)))
+    mask = F.coalesce(*(F.when(word == w, F.col(f"_w{w}")) for w in range(FILTER_WORDS)), F.lit(0).cast("long"))
+    found = rows.withColumn("_block", block).withColumn("_bit", bit).join(F.broadcast(sets), "_block", "left")
+    return found.select(*rows.columns, (mask.bitwiseAND(one) != 0).alias("_maybe"))
 
 
 def chunk_lists(docs: DataFrame) -> DataFrame:
@@ -116,8 +132,11 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     pairs = lists.join(F.broadcast(hot.select("digest", "own")), "digest").unionByName(lists.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(rest.select("digest", "own"), "digest"))
     owner = (F.col("own._key") == F.col("_key")) & (F.col("own.seq") == F.col("seq"))
     moves = written(pairs.groupBy("_key").agg(F.sort_array(F.collect_list(F.when(~owner, F.struct("seq", "digest")))).alias("refs"), F.sort_array(F.collect_list(F.when(owner, F.col("seq")))).alias("shared")), "chunk-moves")
-    few = moves.count() <= BROADCAST_ROWS
-    placed = keyed.join(F.broadcast(moves) if few else moves, "_key", "left")
+    # texts that certainly share nothing stay where they are; the others meet what they share in a shuffle
+    flagged = _flagged(keyed, moves)
+    none = moves.schema
+    alone = flagged.where("not _maybe").select(*keyed.columns, *(F.lit(None).cast(none[c].dataType).alias(c) for c in ("refs", "shared")))
+    placed = flagged.where("_maybe").drop("_maybe").join(moves.hint("shuffle_merge"), "_key", "left").unionByName(alone)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -434,6 +434,24 @@ def test_media(docs, texts):
         assert (r["media_bytes"], r["media_sha256"], r["feature"]) == (len(wav), hashlib.sha256(wav).hexdigest(), media.features(payload))
 
 
+def test_media_filter_has_every_key(spark, monkeypatch):
+    keys = spark.range(3000).selectExpr("cast(id as string) as _key")
+    flagged = media._flagged(spark.range(20_000).selectExpr("cast(id as string) as _key", "id"), keys)
+    assert flagged.where("id < 3000 and _maybe").count() == 3000 and flagged.where("id >= 3000 and not _maybe").count() > 16_000
+    monkeypatch.setattr(media, "FILTER_BLOCKS", 8)  # full: all rows go the other way, none is lost
+    full = media._flagged(spark.range(20_000).selectExpr("cast(id as string) as _key", "id"), keys)
+    assert full.count() == 20_000 and full.where("id < 3000 and not _maybe").count() == 0
+
+
+def test_media_of_null_ids_and_shared_chunks(spark):
+    rng = random.Random(9)
+    long_ = "".join(rng.choice("abcdefgh \n") for _ in range(30_000))
+    rows = [(None, "5\x01T"), (5, "T"), (5, "T"), (None, long_), (1, long_), (2, long_ + "end"), (3, "x" + long_), (None, None), (4, ""), (6, "y" * 70_000)]
+    out = media.media_columns(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = Counter((i, hashlib.sha256(media.payload_of(t)).hexdigest(), len((t or "").encode())) for i, t in rows)
+    assert Counter((r["doc_id"], r["payload_sha256"], r["n_bytes"]) for r in out) == want
+
+
 def test_wav_is_readable():
     import io
     import wave
