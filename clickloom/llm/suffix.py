@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +17,10 @@ LENGTH = 200
 GRAM = 64  # bytes of an anchor; every string of LENGTH bytes holds the anchor chosen in it
 SPAN = LENGTH - GRAM  # bytes by which such a string can reach over its anchor, on either side together
 PACK = 500_000  # anchors that a task gathers before it sends them
-HOT = 20_000  # different surroundings of one anchor beyond which its strings are counted by a shuffle instead
+GROUP = 1_000  # different surroundings of one anchor that are sorted together, about; more are dealt to several groups
 BLOCK = 8_000_000
 
-_B = np.uint64(0x9E3779B97F4A7C15 | 1)
+_B, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -29,16 +30,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * _B)
-_powers: dict[int, np.ndarray] = {}
+_BYTES, _BYTES2 = _mix(np.arange(1, 257, dtype=np.uint64) * _B), _mix(np.arange(1, 257, dtype=np.uint64) * _B2)
+_powers: dict[np.uint64, np.ndarray] = {}
 
 
-def powers(n: int) -> np.ndarray:
-    size = 1 << max(10, int(n).bit_length())
-    if size not in _powers:
-        _powers.clear()
-        _powers[size] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, _B)]).astype(np.uint64), dtype=np.uint64)
-    return _powers[size]
+def powers(n: int, base: np.uint64 = _B) -> np.ndarray:
+    if len(_powers.get(base, ())) <= n or len(_powers[base]) > max(1 << 20, 4 * n):
+        size = 1 << max(10, int(n).bit_length())
+        _powers[base] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, base)]).astype(np.uint64), dtype=np.uint64)
+    return _powers[base]
 
 
 def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
@@ -91,10 +91,10 @@ def contexts(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return padded[at[:, None] + np.arange(SPAN + LENGTH)], left, right
 
 
-def _prefix_hashes(rows: np.ndarray) -> np.ndarray:
+def _prefix_hashes(rows: np.ndarray, table: np.ndarray = _BYTES, base: np.uint64 = _B) -> np.ndarray:
     """hash[i, j] of the first j bytes of row i, each byte weighted by a power of its position."""
     out = np.zeros((len(rows), rows.shape[1] + 1), np.uint64)
-    np.cumsum(_BYTES[rows] * powers(rows.shape[1])[: rows.shape[1]], axis=1, dtype=np.uint64, out=out[:, 1:])
+    np.cumsum(table[rows] * powers(rows.shape[1], base)[: rows.shape[1]], axis=1, dtype=np.uint64, out=out[:, 1:])
     return out
 
 
@@ -152,13 +152,13 @@ def suffix_order(group: np.ndarray, rows: np.ndarray, length: np.ndarray) -> tup
     return order, lcp
 
 
-def string_keys(group: np.ndarray, rows: np.ndarray) -> np.ndarray:
+def string_keys(group: np.ndarray, rows: np.ndarray, table: np.ndarray = _BYTES, base: np.uint64 = _B) -> np.ndarray:
     """A hash of each string of LENGTH bytes around each anchor, with its place and the anchor's own hash."""
     s = np.arange(SPAN + 1)
-    prefix, p = _prefix_hashes(rows), powers(SPAN + LENGTH + 1)
+    prefix, p = _prefix_hashes(rows, table, base), powers(SPAN + LENGTH + 1, base)
     # freed of its place by the power of the distance to the end
     value = (prefix[:, SPAN - s + LENGTH] - prefix[:, SPAN - s]) * p[s][None, :]
-    return _mix(value ^ _mix(s.astype(np.uint64) + _B)[None, :] ^ _mix(group.view(np.uint64) * _M2)[:, None])
+    return _mix(value ^ _mix(s.astype(np.uint64) + base)[None, :] ^ _mix(group.view(np.uint64) * _M2)[:, None])
 
 
 def repeated_starts(group: np.ndarray, rows: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -195,59 +195,78 @@ def repeated_starts(group: np.ndarray, rows: np.ndarray, left: np.ndarray, right
     return out
 
 
-FULL, EDGE, FAR = 0, 1, 2  # surroundings repeated as a whole; to be looked at; to be looked at, of an anchor in very many surroundings
+def merged(who: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unions of intervals; they come sorted by (who, a), and those of one ``who`` are equally long but at a text's start."""
+    if not len(who):
+        return who, a, b
+    new = np.concatenate([[True], (who[1:] != who[:-1]) | (a[1:] > b[:-1])])
+    first = np.flatnonzero(new)
+    return who[first], a[first], b[np.append(first[1:], len(who)) - 1]
 
 
 def anchor_rows(docs: DataFrame, buckets: int) -> DataFrame:
-    """ent, pos, kind, h of anchors that occur more than once; docs has ent and text.
-
-    Tasks send anchors packed by bucket (a hash range): gram hash, hash of the surroundings,
-    place.  A text met before in the same task is not sent again.  Anchors that occur once end
-    here.  Where the whole surroundings (all that a string of LENGTH bytes around the
-    anchor can hold) are found twice, all of them are repeated and nothing more is to be
-    done; one of those serves as partner to the other surroundings of that anchor.
+    """What anchors that occur more than once tell of a text (e1, e2); docs has e1, e2 and text.
+
+    Rows with kinds 0 are intervals a to b that are repeated: unions of surroundings (all that a
+    string of LENGTH bytes around an anchor can hold) that occur twice as a whole.  Rows with kinds > 1
+    have an anchor at a with the hash h, which has so many different surroundings; they name
+    one of each.
+
+    Surroundings are equal if the anchor's 64-bit hash and two 64-bit hashes of all their bytes agree.
+    A task settles what it meets twice itself and sends one of each surroundings, with
+    whether there were more, packed by bucket (a hash range of anchors).  So what meets in a bucket is at most
+    one row for each different surroundings and packet, however often they occur.  A text met before
+    in the same task is not sent again.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        held: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        seen: set[tuple[int, int]] = set()
+        held: list[tuple[tuple[int, int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        turn = TaskContext.get().partitionId()
 
         def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal turn
             if not held:
                 return
             ents = np.array([x[0] for x in held], np.int64)
             who = np.repeat(np.arange(len(held)), [len(x[1]) for x in held])
-            pos, h, ctx = (np.concatenate([x[i] for x in held]) for i in (1, 2, 3))
-            bucket = ((h >> np.uint64(24)) % np.uint64(buckets)).astype(np.uint32)
-            order = np.argsort(bucket, kind="stable")
-            who, pos, h, ctx = who[order], pos[order].astype("<u4"), h[order], ctx[order]
-            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            pos, h, c1, c2 = (np.concatenate([x[i] for x in held]) for i in (1, 2, 3, 4))
+            held.clear()
+            order = np.argsort(h ^ (c1 >> np.uint64(1)), kind="stable")
+            same = (h[order[1:]] == h[order[:-1]]) & (c1[order[1:]] == c1[order[:-1]]) & (c2[order[1:]] == c2[order[:-1]])
+            again, before = np.concatenate([[False], same]), np.concatenate([same, [False]])
+            twice = np.sort(order[again | before])
+            x, a, b = merged(who[twice], np.maximum(pos[twice] - SPAN, 0), pos[twice] + LENGTH)
+            spans = np.column_stack([ents[x], a, b]).astype("<i8")
+            own, many = order[~again], before[~again]
+            bucket = ((h[own] >> np.uint64(24)) % np.uint64(buckets)).astype(np.uint32)
+            order = np.lexsort((own, bucket))
+            own, many, bucket = own[order], many[order], bucket[order]
+            ends = np.searchsorted(bucket, np.arange(buckets + 1))
             out = []
             for k in np.flatnonzero(np.diff(ends)).tolist():
-                a, b = ends[k], ends[k + 1]
-                own, counts = np.unique(who[a:b], return_counts=True)
-                out.append((k, h[a:b].tobytes(), ctx[a:b].tobytes(), pos[a:b].tobytes(), ents[own].tobytes(), counts.astype("<u4").tobytes()))
+                at = own[ends[k] : ends[k + 1]]
+                texts, counts = np.unique(who[at], return_counts=True)
+                out.append((k, h[at].tobytes(), c1[at].tobytes(), c2[at].tobytes(), pos[at].astype("<u4").tobytes(), many[ends[k] : ends[k + 1]].tobytes(), ents[texts].tobytes(), counts.astype("<u4").tobytes(), b""))
+            for k in range(0, len(spans), 4_096):  # these only pass through
+                turn += 1
+                out.append((turn % buckets, *[b""] * 7, spans[k : k + 4_096].tobytes()))
             cols = list(zip(*out))
-            held.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "h", "ctx", "pos", "ents", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], SENT)
 
         size = 0
         for batch in batches:
-            for ent, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if ent in seen:
+            for e1, e2, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if (e1, e2) in seen:
                     continue
                 if len(seen) > 1_000_000:
                     seen.clear()
-                seen.add(ent)
+                seen.add((e1, e2))
                 data = np.frombuffer(text.as_py().encode("utf-8", "surrogatepass"), np.uint8)
                 at, h = anchors(data)
                 if not len(at):
                     continue
-                p = powers(len(data) + 1)
-                prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[data] * p[: len(data)], dtype=np.uint64)])
-                a, b = np.maximum(at - SPAN, 0), np.minimum(at + LENGTH, len(data))
-                ctx = context_hash(prefix, p, a, b, at, len(data))
-                held.append((ent, at, h, ctx))
+                held.append(((e1, e2), at, h, *context_hashes(data, at)))
                 size += len(at)
                 if size > PACK:
                     yield from flush()
@@ -255,51 +274,143 @@ def anchor_rows(docs: DataFrame, buckets: int) -> DataFrame:
         yield from flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def result(e1, e2, a, b, kinds, h) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x), pa.int64()) for x in (e1, e2, a, b, kinds, h)], ["e1", "e2", "a", "b", "kinds", "h"])
+
         held: dict[int, list[tuple[bytes, ...]]] = {}
-        for b in batches:
-            for k, *row in zip(*(b.column(i).to_pylist() for i in range(6))):
-                held.setdefault(k, []).append(tuple(row))
+        for batch in batches:
+            for k, *row, spans in zip(*(batch.column(i).to_pylist() for i in range(len(SENT)))):
+                if spans:
+                    x = np.frombuffer(spans, "<i8").reshape(-1, 4)
+                    yield result(*x.T, *np.zeros((2, len(x)), np.int64))
+                else:
+                    held.setdefault(k, []).append(tuple(row))
         for k in list(held):
             rows = held.pop(k)
-            h, ctx, pos, ents, counts = (np.frombuffer(b"".join(r[i] for r in rows), t) for i, t in enumerate(("<u8", "<u8", "<u4", "<i8", "<u4")))
-            ent = np.repeat(ents, counts)
-            order = np.argsort(h)
+            h, c1, c2, pos, many, ents, counts = (np.frombuffer(b"".join(r[i] for r in rows), t) for i, t in enumerate(("<u8", "<u8", "<u8", "<u4", "?", "<i8", "<u4")))
+            who = np.repeat(np.arange(len(counts)), counts)
+            order = np.argsort(h, kind="stable")
             h = h[order]
             same = h[1:] == h[:-1]
-            keep = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+            keep = np.concatenate([same, [False]]) | np.concatenate([[False], same]) | many[order]
             order, h = order[keep], h[keep]
-            ctx, ent, pos = ctx[order], ent[order], pos[order]
-            order = np.lexsort((pos, ent, ctx, h))
-            h, ctx, ent, pos = h[order], ctx[order], ent[order], pos[order]
+            c1, c2, pos, many, (e1, e2) = c1[order], c2[order], pos[order].astype(np.int64), many[order], ents.reshape(-1, 2)[who[order]].T
+            order = np.lexsort((~many, pos, e2, e1, c2, c1, h))
+            h, c1, c2, pos, many, e1, e2 = (x[order] for x in (h, c1, c2, pos, many, e1, e2))
             new = np.ones(len(h), bool)  # not a text that several tasks met
-            new[1:] = (h[1:] != h[:-1]) | (ctx[1:] != ctx[:-1]) | (ent[1:] != ent[:-1]) | (pos[1:] != pos[:-1])
-            h, ctx, ent, pos = h[new], ctx[new], ent[new], pos[new]
+            new[1:] = (h[1:] != h[:-1]) | (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1]) | (e1[1:] != e1[:-1]) | (e2[1:] != e2[:-1]) | (pos[1:] != pos[:-1])
+            h, c1, c2, pos, many, e1, e2 = (x[new] for x in (h, c1, c2, pos, many, e1, e2))
             if not len(h):
                 continue
             first_h = np.concatenate([[True], h[1:] != h[:-1]])
-            first_c = first_h | np.concatenate([[True], ctx[1:] != ctx[:-1]])
+            first_c = first_h | np.concatenate([[True], (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])])
             gid, cid = np.cumsum(first_h) - 1, np.cumsum(first_c) - 1
-            of_ctx, kinds = np.bincount(cid)[cid], np.bincount(gid[first_c])[gid]
-            full = of_ctx > 1
+            kinds = np.bincount(gid[first_c])[gid]
+            full = (np.bincount(cid) + np.bincount(cid, many) > 1)[cid]
             look = (kinds > 1) & first_c  # one of each surroundings, if there are others
-            for mask, kind in ((full, np.full(len(h), FULL)), (look, np.where(kinds > HOT, FAR, EDGE))):
-                yield pa.RecordBatch.from_arrays([pa.array(ent[mask]), pa.array(pos[mask].astype(np.int64)), pa.array(kind[mask].astype(np.int32)), pa.array(h[mask].view(np.int64))], ["ent", "pos", "kind", "h"])
+            yield result(e1[full], e2[full], np.maximum(pos[full] - SPAN, 0), pos[full] + LENGTH, *np.zeros((2, int(full.sum())), np.int64))
+            yield result(e1[look], e2[look], pos[look], pos[look], kinds[look], h[look].view(np.int64))
+
+    sent = docs.mapInArrow(send, "bucket int, " + ", ".join(f"{c} binary" for c in SENT[1:]))
+    return sent.repartition(buckets, "bucket").mapInArrow(meet, "e1 long, e2 long, a long, b long, kinds long, h long")
+
+
+SENT = ["bucket", "h", "c1", "c2", "pos", "many", "ents", "counts", "spans"]
+
+
+def context_hashes(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of the surroundings of anchors, freed of their place, together with how they lie around the anchor."""
+    n, out = len(data), []
+    a, b = np.maximum(at - SPAN, 0), np.minimum(at + LENGTH, n)
+    for table, base in ((_BYTES, _B), (_BYTES2, _B2)):
+        p = powers(n + 1, base)
+        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[data] * p[:n], dtype=np.uint64)])
+        value = (prefix[b] - prefix[a]) * p[n - a]  # times the power n, the same for one text only
+        back = np.uint64(pow(pow(int(base), -1, 1 << 64), n, 1 << 64))
+        out.append(_mix(value * back ^ _mix((at - a).astype(np.uint64) * base + (b - at).astype(np.uint64))))
+    return out
+
+
+def _arrays(b: pa.RecordBatch, names: tuple[str, ...]) -> list[np.ndarray]:
+    return [*(b[c].to_numpy() for c in names), np.frombuffer(b"".join(b["ctx"].to_pylist()), np.uint8).reshape(-1, SPAN + LENGTH)]
+
+
+def edge_rows(surroundings: DataFrame, buckets: int) -> DataFrame:
+    """Strings of LENGTH bytes around anchors with different surroundings, compared in groups of about GROUP members of one anchor.
+
+    Rows with a null s are repeated intervals a to b of a text (e1, e2).  Where an anchor has several
+    groups, rows with s stand for the different strings of a group: two hashes of the bytes, the anchor (h, and a,
+    its place in the text), and alone, whether the string occurs once in the group.
+    """
+
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("h", "sub", "e1", "e2", "pos", "left", "right", "kinds")
+
+        def settle(h, sub, e1, e2, pos, left, right, kinds, ctx) -> Iterator[pa.RecordBatch]:
+            group = np.cumsum(np.concatenate([[0], (h[1:] != h[:-1]) | (sub[1:] != sub[:-1])])).astype(np.int64)
+            starts = repeated_starts(group, ctx, left, right)
+            hit = np.flatnonzero(starts.any(axis=1))
+            # the strings around an anchor all hold it, so what they cover is one interval
+            first, last = SPAN - starts[hit, ::-1].argmax(axis=1), starts[hit].argmax(axis=1)
+            none = pa.nulls(len(hit), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(e1[hit]), pa.array(e2[hit]), pa.array(pos[hit] - first), pa.array(pos[hit] - last + LENGTH), none, none, none, none, pa.nulls(len(hit), pa.bool_())], EDGE)
+            wide = np.flatnonzero(kinds > GROUP)
+            for at in range(0, len(wide), 2_000):
+                own = wide[at : at + 2_000]
+                s = np.arange(SPAN + 1)
+                i, j = np.nonzero((s <= left[own][:, None]) & (LENGTH - s <= right[own][:, None]))
+                k1, k2 = (string_keys(h[own], ctx[own], *x)[i, j].view(np.int64) for x in ((_BYTES, _B), (_BYTES2, _B2)))
+                i = own[i]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (e1[i], e2[i], pos[i], pos[i], h[i], j, k1, k2, ~starts[i, j])], EDGE)
+
+        held: list[np.ndarray] | None = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            now = _arrays(b, names)
+            held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+            if len(held[0]) >= 10_000:
+                other = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]))
+                if len(other):  # the last group may go on in the next batch
+                    whole = int(other[-1]) + 1
+                    yield from settle(*(x[:whole] for x in held))
+                    held = [x[whole:] for x in held]
+        if held is not None:
+            yield from settle(*held)
 
-    sent = docs.mapInArrow(send, "bucket int, h binary, ctx binary, pos binary, ents binary, counts binary")
-    return sent.repartition(buckets, "bucket").mapInArrow(meet, "ent long, pos long, kind int, h long")
+    sub = F.pmod(F.xxhash64("e1", "e2", "pos"), F.ceil(F.col("kinds") / GROUP)).alias("sub")
+    dealt = surroundings.select("*", sub).repartition(buckets, "h", "sub").sortWithinPartitions("h", "sub")
+    return dealt.mapInArrow(sort, "e1 long, e2 long, a long, b long, h long, s long, k1 long, k2 long, alone boolean")
 
 
-def context_hash(prefix: np.ndarray, p: np.ndarray, a: np.ndarray, b: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """Hash of bytes a to b, freed of their place, together with how they lie around the anchor."""
-    value = (prefix[b] - prefix[a]) * p[n - a]  # times the power n, the same for one text only
-    return _mix(value * _inverse_power(n) ^ _mix((at - a).astype(np.uint64) * _B + (b - at).astype(np.uint64)))
+EDGE = ["e1", "e2", "a", "b", "h", "s", "k1", "k2", "alone"]
 
 
-_INVERSE = np.uint64(pow(int(_B), -1, 1 << 64))
+def across_groups(strings: DataFrame, surroundings: DataFrame) -> DataFrame:
+    """Intervals e1, e2, a, b around anchors of several groups that hold strings of another group.
 
+    Equal strings of all groups are combined before the shuffle; each one that its group has once is then
+    compared byte by byte with the first of its equals, or, for the first itself, with the last.
+    """
+    key, place = ["h", "s", "k1", "k2"], F.struct("e1", "e2", F.col("a").alias("pos"))
+    twice = strings.groupBy(*key).agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y")
+    own = strings.where("alone").join(twice, key).withColumn("mate", F.when(place == F.col("x"), F.col("y")).otherwise(F.col("x")))
+    pairs = own.groupBy("e1", "e2", F.col("a").alias("pos"), "mate").agg(F.collect_set("s").alias("s"))  # SPAN + 1 numbers at most
+    around = surroundings.select("e1", "e2", "pos", "ctx").dropDuplicates(["e1", "e2", "pos"])
+    theirs = around.select(F.struct("e1", "e2", "pos").alias("mate"), F.col("ctx").alias("mate_ctx"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple[int, int, int, int]] = []
+            for e1, e2, pos, starts, x, y in zip(*(b[c].to_pylist() for c in ("e1", "e2", "pos", "s", "ctx", "mate_ctx"))):
+                same = [s for s in starts if x[SPAN - s : SPAN - s + LENGTH] == y[SPAN - s : SPAN - s + LENGTH]]
+                if same:
+                    out.append((e1, e2, pos - max(same), pos - min(same) + LENGTH))
+            cols = list(zip(*out)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["e1", "e2", "a", "b"])
 
-def _inverse_power(n: int) -> np.uint64:
-    return np.uint64(pow(int(_INVERSE), n, 1 << 64))
+    both = pairs.join(around, ["e1", "e2", "pos"]).join(theirs, "mate").select("e1", "e2", "pos", "s", "ctx", "mate_ctx")
+    return both.mapInArrow(verify, "e1 long, e2 long, a long, b long")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -314,74 +425,52 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     null ids are passed through.  An empty table gives an empty result.
 
     Every string of 200 bytes holds an anchor that its own bytes choose, so equal strings meet
-    at equal anchors.  Anchors that occur once are dropped.  Around the others, the text is sorted
+    at equal anchors.  Anchors that occur once are dropped.  Surroundings of an anchor that occur as a whole elsewhere
+    are repeated; that is decided by 192 bits of hashes.  Around the others, the text is sorted
     to the right and, reversed, to the left by a mergesort whose comparisons are binary
     searches over prefix hashes; that gives the longest extension shared with any other
-    occurrence.  Strings within reach are matched by hash and verified byte by byte.
+    occurrence.  Strings within reach are matched by hash and verified byte by byte.  An anchor with
+    very many surroundings is sorted in groups, and strings that groups share are verified as well.
+    A text is known by 124 bits of two hashes of all its bytes.
     """
     spark = docs.sparkSession
     small_batches(spark, 500)
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("ent", F.xxhash64("text"))
-    rows = written(keyed.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"), "ent", F.octet_length("text").cast("long").alias("n")), "texts")
-    reps = rows.groupBy("ent").agg(F.min("_id").alias("_id"), F.count(F.lit(1)).alias("copies"))
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    keyed = keyed.select("doc_id", "text", F.xxhash64("text").alias("e1"), F.conv(F.substring(F.sha2("text", 256), 1, 15), 16, 10).cast("long").alias("e2"))
+    rows = written(keyed.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"), "e1", "e2", F.octet_length("text").cast("long").alias("n")), "texts")
+    reps = rows.groupBy("e1", "e2").agg(F.min("_id").alias("_id"), F.count(F.lit(1)).alias("copies"))
     total = rows.agg(F.sum("n")).first()[0] or 0
     buckets = max(shuffles(spark), total // (LENGTH * 100_000))
-    found = written(anchor_rows(keyed.select("ent", "text"), buckets), "anchors")
+    found = written(anchor_rows(keyed.select("e1", "e2", "text"), buckets), "anchors")
 
-    edges = found.where(F.col("kind") != FULL).groupBy("ent").agg(F.collect_list(F.struct("pos", "kind", "h")).alias("at")).join(reps.select("ent", "_id"), "ent")
-    cut = keyed.withColumn("_id", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(edges, ["ent", "_id"]).select("ent", "text", "at")
+    edges = found.where("kinds > 0").groupBy("e1", "e2").agg(F.collect_list(F.struct(F.col("a").alias("pos"), "kinds", "h")).alias("at")).join(reps.select("e1", "e2", "_id"), ["e1", "e2"])
+    cut = keyed.withColumn("_id", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(edges, ["e1", "e2", "_id"]).select("e1", "e2", "text", "at")
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ent, text, at in zip(b["ent"].to_pylist(), b["text"], b["at"].to_pylist()):
+            for e1, e2, text, at in zip(b["e1"].to_pylist(), b["e2"].to_pylist(), b["text"], b["at"].to_pylist()):
                 data = np.frombuffer(text.as_py().encode("utf-8", "surrogatepass"), np.uint8)
-                pos = np.array([x["pos"] for x in at], np.int64)
-                for k in range(0, len(pos), 5_000):
-                    ctx, left, right = contexts(data, pos[k : k + 5_000])
+                for k in range(0, len(at), 5_000):
                     part = at[k : k + 5_000]
+                    pos = np.array([x["pos"] for x in part], np.int64)
+                    ctx, left, right = contexts(data, pos)
                     yield pa.RecordBatch.from_arrays([
-                        pa.array([x["h"] for x in part], pa.int64()), pa.array([ent] * len(part), pa.int64()), pa.array(pos[k : k + 5_000]), pa.array([x["kind"] for x in part], pa.int32()),
+                        pa.array([x["h"] for x in part], pa.int64()), pa.array([e1] * len(part), pa.int64()), pa.array([e2] * len(part), pa.int64()), pa.array(pos), pa.array([x["kinds"] for x in part], pa.int64()),
                         pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)), pa.array([r.tobytes() for r in ctx], pa.binary()),
-                    ], ["h", "ent", "pos", "kind", "left", "right", "ctx"])
-
-    surroundings = cut.mapInArrow(around, "h long, ent long, pos long, kind int, left int, right int, ctx binary")
-    surroundings = written(surroundings.dropDuplicates(["h", "ent", "pos"]), "surroundings")
-
-    def arrays(b: pa.RecordBatch) -> list[np.ndarray]:
-        return [*(b[c].to_numpy() for c in ("h", "ent", "pos", "left", "right")), np.frombuffer(b"".join(b["ctx"].to_pylist()), np.uint8).reshape(-1, SPAN + LENGTH)]
-
-    def intervals(ent, pos, starts: np.ndarray) -> pa.RecordBatch:
-        """The strings around an anchor all hold it, so what they cover is one interval."""
-        any_ = starts.any(axis=1)
-        ent, pos, starts = ent[any_], pos[any_], starts[any_]
-        first, last = SPAN - starts[:, ::-1].argmax(axis=1), starts.argmax(axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(ent), pa.array(pos - first), pa.array(pos - last + LENGTH)], ["ent", "a", "b"])
-
-    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            now = arrays(b)
-            held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
-            if len(held[0]) >= 10_000:
-                whole = int(np.searchsorted(held[0], held[0][-1]))
-                if whole:
-                    h, ent, pos, left, right, ctx = (x[:whole] for x in held)
-                    yield intervals(ent, pos, repeated_starts(h, ctx, left, right))
-                    held = [x[whole:] for x in held]
-        if held is not None:
-            h, ent, pos, left, right, ctx = held
-            yield intervals(ent, pos, repeated_starts(h, ctx, left, right))
+                    ], ["h", "e1", "e2", "pos", "kinds", "left", "right", "ctx"])
 
-    near = surroundings.where(F.col("kind") == EDGE).repartition(buckets, "h").sortWithinPartitions("h").mapInArrow(sort, "ent long, a long, b long")
-    spans = found.where(F.col("kind") == FULL).select("ent", F.greatest(F.col("pos") - SPAN, F.lit(0)).alias("a"), (F.col("pos") + LENGTH).alias("b")).unionByName(near)
-    far = surroundings.where(F.col("kind") == FAR)
-    if not far.isEmpty():
-        spans = spans.unionByName(_far_spans(far, arrays))
+    surroundings = cut.mapInArrow(around, "h long, e1 long, e2 long, pos long, kinds long, left int, right int, ctx binary")
+    surroundings = written(surroundings.dropDuplicates(["h", "e1", "e2", "pos"]), "surroundings")
+    near = written(edge_rows(surroundings, buckets), "strings")
+    spans = found.where("kinds = 0").select("e1", "e2", "a", "b").unionByName(near.where("s is null").select("e1", "e2", "a", "b"))
+    strings = near.where("s is not null")
+    if not strings.isEmpty():  # some anchor has several groups
+        spans = spans.unionByName(across_groups(strings, surroundings.where(F.col("kinds") > GROUP)))
 
-    spans = spans.groupBy("ent").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
-    known = spans.join(reps.where("copies > 1").select("ent", F.lit(True).alias("copied")), "ent", "full")
+    spans = spans.groupBy("e1", "e2").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
+    # a copied text goes whole, so its spans are not needed, and what is broadcast for texts with very many copies is small
+    known = spans.join(reps.where("copies > 1").select("e1", "e2", "copies"), ["e1", "e2"], "full")
+    known = known.select("e1", "e2", F.when(F.col("copies").isNull(), F.col("spans")).alias("spans"), F.col("copies").isNotNull().alias("copied"), F.coalesce("copies", F.lit(1)).alias("_n"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -411,24 +500,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), *([pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))] if with_text else [])]
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept", "spans"] if with_text else [])]
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary, spans array<struct<start:long,end:long>>" if with_text else "")
-    return keyed.join(known, "ent", "left").select("doc_id", "text", "spans", "copied").mapInArrow(remove, schema)
-
-
-def _far_spans(far: DataFrame, arrays) -> DataFrame:
-    """The same for anchors with very many surroundings: their strings' hashes are counted by a shuffle, which combines equal ones first."""
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                h, ent, pos, left, right, ctx = arrays(b)
-                s = np.arange(SPAN + 1)
-                i, j = np.nonzero((s <= left[:, None]) & (LENGTH - s <= right[:, None]))
-                yield pa.RecordBatch.from_arrays([pa.array(string_keys(h, ctx)[i, j].view(np.int64)), pa.array(h[i]), pa.array(ent[i]), pa.array(pos[i]), pa.array(j.astype(np.int64))], ["key", "h", "ent", "pos", "s"])
-
-    strings = far.mapInArrow(keys, "key long, h long, ent long, pos long, s long")
-    twice = strings.groupBy("key", "h").agg(F.min(F.struct("ent", "pos")).alias("x"), F.max(F.struct("ent", "pos")).alias("y")).where("x <> y").select("key", "h")
-    hit = strings.join(twice, ["key", "h"]).groupBy("ent", "pos").agg(F.max("s").alias("first"), F.min("s").alias("last"))
-    return hit.select("ent", (F.col("pos") - F.col("first")).alias("a"), (F.col("pos") - F.col("last") + LENGTH).alias("b"))
+    return join_groups(keyed, known, ["e1", "e2"], F.col("doc_id").cast("string")).select("doc_id", "text", "spans", "copied").mapInArrow(remove, schema)
 
 
 #: The rows of ``remove_repeats``, by grouping all strings of 200 bytes.

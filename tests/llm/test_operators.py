@@ -272,13 +272,26 @@ def brute_repeats(texts, length=200):
     return out
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
-def test_suffix_dedup(docs, texts, hot, monkeypatch):
-    monkeypatch.setattr(suffix, "HOT", hot)
+def test_suffix_dedup(docs, texts):
     out = table(suffix.remove_repeats(docs), "doc_id")
     assert [tuple(out[i][c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for i in range(len(texts))] == brute_repeats(texts)
 
 
+@pytest.mark.parametrize("group,pack", [(10, 500_000), (2, 50), (1_000, 50)])
+def test_suffix_dedup_in_small_groups(spark, group, pack, monkeypatch):
+    """An anchor with many surroundings, met in groups of ``group``; passages repeat whole, in part, and with what stands next to them."""
+    monkeypatch.setattr(suffix, "GROUP", group)
+    monkeypatch.setattr(suffix, "PACK", pack)
+    rng = random.Random(12)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnop qrstuvwxyzé") for _ in range(n))
+    line, short, left, right = noise(260), noise(150), [noise(80) for _ in range(6)], [noise(80) for _ in range(6)]
+    made = [noise(rng.randint(0, 90)) + rng.choice(left)[rng.randint(0, 60) :] + rng.choice([line, short]) + rng.choice(right)[: rng.randint(0, 80)] + noise(rng.randint(0, 90)) for _ in range(70)]
+    made += [made[0], made[1], None, "", line, short, line + line, "ab" * 300, "ab" * 130 + "c"]
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(5)
+    out = table(suffix.remove_repeats(df), "doc_id")
+    assert [tuple(out[i][c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for i in range(len(made))] == brute_repeats(made)
+
+
 def test_suffix_dedup_keeps_text(docs, texts):
     for r in suffix.remove_repeats(docs, with_text=True).collect():
         raw = (texts[r["doc_id"]] or "").encode()
