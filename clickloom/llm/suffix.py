@@ -19,6 +19,9 @@ SPAN = LENGTH - GRAM  # bytes by which such a string can reach over its anchor,
 PACK = 500_000  # anchors that a task gathers before it sends them
 GROUP = 1_000  # different surroundings of one anchor that are sorted together, about; more are dealt to several groups
 BLOCK = 8_000_000
+#: Ranges of the places s (how far before its anchor a string starts).  All strings of a range hold the
+#: same core around the anchor.
+RANGES = [(lo, min(lo + 34, SPAN)) for lo in range(0, SPAN + 1, 35)]
 
 _B, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -335,12 +338,18 @@ def _arrays(b: pa.RecordBatch, names: tuple[str, ...]) -> list[np.ndarray]:
     return [*(b[c].to_numpy() for c in names), np.frombuffer(b"".join(b["ctx"].to_pylist()), np.uint8).reshape(-1, SPAN + LENGTH)]
 
 
+def core_keys(rows: np.ndarray, lo: int, hi: int) -> list[np.ndarray]:
+    """Two hashes of the bytes that all strings of places lo to hi hold."""
+    return [_mix(x[:, SPAN + LENGTH - hi] - x[:, SPAN - lo]) for x in (_prefix_hashes(rows, *kind) for kind in ((_BYTES, _B), (_BYTES2, _B2)))]
+
+
 def edge_rows(surroundings: DataFrame, buckets: int) -> DataFrame:
     """Strings of LENGTH bytes around anchors with different surroundings, compared in groups of about GROUP members of one anchor.
 
-    Rows with a null s are repeated intervals a to b of a text (e1, e2).  Where an anchor has several
-    groups, rows with s stand for the different strings of a group: two hashes of the bytes, the anchor (h, and a,
-    its place in the text), and alone, whether the string occurs once in the group.
+    Rows with a null r are repeated intervals a to b of a text (e1, e2).  Where an anchor has several
+    groups, rows with r (a range of RANGES) name the anchor (h, and a, its place in the text), two hashes of the range's
+    core, and as bits which strings of the range the other groups should see (one of each different
+    string of this group), and which of them this group has once.
     """
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,15 +362,23 @@ def edge_rows(surroundings: DataFrame, buckets: int) -> DataFrame:
             # the strings around an anchor all hold it, so what they cover is one interval
             first, last = SPAN - starts[hit, ::-1].argmax(axis=1), starts[hit].argmax(axis=1)
             none = pa.nulls(len(hit), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(e1[hit]), pa.array(e2[hit]), pa.array(pos[hit] - first), pa.array(pos[hit] - last + LENGTH), none, none, none, none, pa.nulls(len(hit), pa.bool_())], EDGE)
+            yield pa.RecordBatch.from_arrays([pa.array(e1[hit]), pa.array(e2[hit]), pa.array(pos[hit] - first), pa.array(pos[hit] - last + LENGTH), *[none] * 6], EDGE)
             wide = np.flatnonzero(kinds > GROUP)
-            for at in range(0, len(wide), 2_000):
-                own = wide[at : at + 2_000]
-                s = np.arange(SPAN + 1)
-                i, j = np.nonzero((s <= left[own][:, None]) & (LENGTH - s <= right[own][:, None]))
-                k1, k2 = (string_keys(h[own], ctx[own], *x)[i, j].view(np.int64) for x in ((_BYTES, _B), (_BYTES2, _B2)))
-                i = own[i]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (e1[i], e2[i], pos[i], pos[i], h[i], j, k1, k2, ~starts[i, j])], EDGE)
+            if not len(wide):
+                return
+            s, rows = np.arange(SPAN + 1), ctx[wide]
+            valid = (s <= left[wide][:, None]) & (LENGTH - s <= right[wide][:, None])
+            alone = valid & ~starts[wide]
+            show = alone.copy()
+            i, j = np.nonzero(valid & starts[wide])
+            at = np.unique(string_keys(group[wide], rows)[i, j], return_index=True)[1]
+            show[i[at], j[at]] = True
+            for r, (lo, hi) in enumerate(RANGES):
+                own = np.flatnonzero(show[:, lo : hi + 1].any(axis=1))
+                bits = [x[own, lo : hi + 1] @ (1 << np.arange(hi - lo + 1)) for x in (show, alone)]
+                at = wide[own]
+                c1, c2 = (x.view(np.int64) for x in core_keys(rows[own], lo, hi))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (e1[at], e2[at], pos[at], pos[at], h[at], np.full(len(at), r), c1, c2, *bits)], EDGE)
 
         held: list[np.ndarray] | None = None
         for b in batches:
@@ -380,24 +397,47 @@ def edge_rows(surroundings: DataFrame, buckets: int) -> DataFrame:
 
     sub = F.pmod(F.xxhash64("e1", "e2", "pos"), F.ceil(F.col("kinds") / GROUP)).alias("sub")
     dealt = surroundings.select("*", sub).repartition(buckets, "h", "sub").sortWithinPartitions("h", "sub")
-    return dealt.mapInArrow(sort, "e1 long, e2 long, a long, b long, h long, s long, k1 long, k2 long, alone boolean")
+    return dealt.mapInArrow(sort, ", ".join(f"{c} long" for c in EDGE))
 
 
-EDGE = ["e1", "e2", "a", "b", "h", "s", "k1", "k2", "alone"]
+EDGE = ["e1", "e2", "a", "b", "h", "r", "k1", "k2", "show", "alone"]
 
 
-def across_groups(strings: DataFrame, surroundings: DataFrame) -> DataFrame:
+def across_groups(cores: DataFrame, surroundings: DataFrame) -> DataFrame:
     """Intervals e1, e2, a, b around anchors of several groups that hold strings of another group.
 
-    Equal strings of all groups are combined before the shuffle; each one that its group has once is then
-    compared byte by byte with the first of its equals, or, for the first itself, with the last.
+    Only strings whose core is found again are looked at.  Equal strings of all groups are combined before
+    the shuffle; each one that its group has once is then compared byte by byte with the first of
+    its equals, or, for the first itself, with the last.
     """
-    key, place = ["h", "s", "k1", "k2"], F.struct("e1", "e2", F.col("a").alias("pos"))
+    place, core, key = F.struct("e1", "e2", "pos"), ["h", "r", "k1", "k2"], ["h", "s", "k1", "k2"]
+    around = surroundings.select("h", "e1", "e2", "pos", "ctx").dropDuplicates(["h", "e1", "e2", "pos"])
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            h, e1, e2, pos, ctx = _arrays(b, ("h", "e1", "e2", "pos"))
+            show, alone = (np.zeros((len(h), SPAN + 1), bool) for _ in range(2))
+            for i, ranges in enumerate(b["ranges"].to_pylist()):
+                for x in ranges:
+                    lo, hi = RANGES[x["r"]]
+                    for out, bits in ((show, x["show"]), (alone, x["alone"])):
+                        out[i, lo : hi + 1] = bits >> np.arange(hi - lo + 1) & 1
+            i, s = np.nonzero(show)
+            k1, k2 = (string_keys(h, ctx, *x)[i, s].view(np.int64) for x in ((_BYTES, _B), (_BYTES2, _B2)))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[i], e1[i], e2[i], pos[i], s, k1, k2, alone[i, s])], ["h", "e1", "e2", "pos", "s", "k1", "k2", "alone"])
+
+    cores = cores.withColumnRenamed("a", "pos")
+    again = cores.groupBy(*core).agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y").select(*core)
+    seen = cores.join(again, core).groupBy("h", "e1", "e2", "pos").agg(F.collect_list(F.struct("r", "show", "alone")).alias("ranges"))
+    strings = around.join(seen, ["h", "e1", "e2", "pos"]).mapInArrow(spell, "h long, e1 long, e2 long, pos long, s long, k1 long, k2 long, alone boolean")
+    strings = written(strings, "group-strings")
+
     twice = strings.groupBy(*key).agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y")
     own = strings.where("alone").join(twice, key).withColumn("mate", F.when(place == F.col("x"), F.col("y")).otherwise(F.col("x")))
-    pairs = own.groupBy("e1", "e2", F.col("a").alias("pos"), "mate").agg(F.collect_set("s").alias("s"))  # SPAN + 1 numbers at most
-    around = surroundings.select("e1", "e2", "pos", "ctx").dropDuplicates(["e1", "e2", "pos"])
-    theirs = around.select(F.struct("e1", "e2", "pos").alias("mate"), F.col("ctx").alias("mate_ctx"))
+    pairs = own.groupBy("h", "e1", "e2", "pos", "mate").agg(F.collect_set("s").alias("s"))  # SPAN + 1 numbers at most
+    theirs = around.select(F.col("h").alias("mate_h"), F.struct("e1", "e2", "pos").alias("mate"), F.col("ctx").alias("mate_ctx"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -409,8 +449,8 @@ def across_groups(strings: DataFrame, surroundings: DataFrame) -> DataFrame:
             cols = list(zip(*out)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["e1", "e2", "a", "b"])
 
-    both = pairs.join(around, ["e1", "e2", "pos"]).join(theirs, "mate").select("e1", "e2", "pos", "s", "ctx", "mate_ctx")
-    return both.mapInArrow(verify, "e1 long, e2 long, a long, b long")
+    both = pairs.join(around, ["h", "e1", "e2", "pos"]).join(theirs, (F.col("h") == F.col("mate_h")) & (pairs["mate"] == theirs["mate"]))
+    return both.select("e1", "e2", "pos", "s", "ctx", "mate_ctx").mapInArrow(verify, "e1 long, e2 long, a long, b long")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -461,11 +501,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     surroundings = cut.mapInArrow(around, "h long, e1 long, e2 long, pos long, kinds long, left int, right int, ctx binary")
     surroundings = written(surroundings.dropDuplicates(["h", "e1", "e2", "pos"]), "surroundings")
-    near = written(edge_rows(surroundings, buckets), "strings")
-    spans = found.where("kinds = 0").select("e1", "e2", "a", "b").unionByName(near.where("s is null").select("e1", "e2", "a", "b"))
-    strings = near.where("s is not null")
-    if not strings.isEmpty():  # some anchor has several groups
-        spans = spans.unionByName(across_groups(strings, surroundings.where(F.col("kinds") > GROUP)))
+    near = written(edge_rows(surroundings, buckets), "edges")
+    spans = found.where("kinds = 0").select("e1", "e2", "a", "b").unionByName(near.where("r is null").select("e1", "e2", "a", "b"))
+    cores = near.where("r is not null")
+    if not cores.isEmpty():  # some anchor has several groups
+        spans = spans.unionByName(across_groups(cores, surroundings.where(F.col("kinds") > GROUP)))
 
     spans = spans.groupBy("e1", "e2").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
     # a copied text goes whole, so its spans are not needed, and what is broadcast for texts with very many copies is small
