@@ -40,6 +40,11 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: int = 32 << 20) -
             spark.conf.set(key, str(most))
 
 
+def row_of(docs: DataFrame, *without: str) -> Column:
+    """All columns of a row in one struct, so that no name of theirs can meet one that an operator uses."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c not in without))
+
+
 def shuffles(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

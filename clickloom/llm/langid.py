@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import crc_bucket, small_batches
+from .common import crc_bucket, row_of, small_batches
 
 SYMBOLS = 64  # 0: anything but a letter; 1-26: a-z; the others: further letters, folded
 DIM = 512
@@ -141,11 +141,16 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, seed: int
             settle()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), *batch.columns[2:]], ["doc_id", "lang_pred", "score", *batch.schema.names[2:]])
 
-    rest = [F.struct(*docs.columns).alias("row")] if whole else []
+    rest = [row_of(docs).alias("row")] if whole else []
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *rest)
     return rows.mapInArrow(run, StructType([*StructType.fromDDL("doc_id long, lang_pred string, score double"), *rows.schema[2:]]))
 
 
+def training_rows(docs: DataFrame) -> DataFrame:
+    """Documents that may be learned from: crc32(doc_id) mod 4 is not 2 (a null doc_id is not held out), lang is known."""
+    return docs.where(F.coalesce(crc_bucket(F.col("doc_id"), 4), F.lit(0)) != 2).where("lang is not null")
+
+
 def identify(docs: DataFrame, train: DataFrame | None = None, whole: bool = False) -> DataFrame:
     """Learn from documents whose crc32(doc_id) mod 4 is not 2, then predict all of ``docs``.
 
@@ -154,6 +159,6 @@ def identify(docs: DataFrame, train: DataFrame | None = None, whole: bool = Fals
     """
     train = docs if train is None else train
     small_batches(docs.sparkSession)
-    langs, prototypes = learn(train.where(F.coalesce(crc_bucket(F.col("doc_id"), 4), F.lit(0)) != 2))
+    langs, prototypes = learn(training_rows(train))
     held = F.coalesce(crc_bucket(F.col("doc_id"), 4) == 2, F.lit(False))
     return predict(docs, langs, prototypes, whole=whole).select("doc_id", held.alias("held_out"), "lang_pred", "score", *(["row"] if whole else []))

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import row_of, small_batches, written
 
 BLOCK_ROWS = 20_000  # documents that one block of the index covers, about
 
@@ -163,11 +163,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole:
     Rules with mandatory trigrams are verified on documents that the index names; rules
     without (``hex``) are run on every text.
 
-    With ``whole``, the text (empty for null) and a struct ``row`` of the other columns come along.
+    With ``whole``, the text (empty for null), whether it was null (no_text) and a struct ``row`` of the other columns come along.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rest = [F.struct(F.col(text_col).isNull().alias("_no_text"), *(F.col(c) for c in docs.columns if c != text_col)).alias("row")] if whole else []
+    rest = [F.col(text_col).isNull().alias("no_text"), row_of(docs, text_col).alias("row")] if whole else []
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *rest)
     keyed = base.withColumn("_key", F.coalesce("doc_id", F.xxhash64("text")))
     named = written(candidates(keyed.where("doc_id is not null"), max(1, base.count() // BLOCK_ROWS)), "secret-candidates")
@@ -179,7 +179,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole:
         wanted = mask.bitwiseAND(F.lit(1 << i)) != 0 if rule_query(rule) else F.col("text").rlike("[0-9a-f]{24}" if rule.kind == "hex" else rule.pattern)
         parts.append(F.when(wanted, _spans(rule, i, F.col("text"))).otherwise(none))
     spans = F.transform(F.array_sort(F.concat(*parts)), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
-    return joined.select("doc_id", spans.alias("spans"), *(["text", "row"] if whole else []))
+    return joined.select("doc_id", spans.alias("spans"), *(["text", "no_text", "row"] if whole else []))
+
+
+def masked(text: Column, spans: Column) -> Column:
+    """The text with the characters of the spans (ordered by start) overwritten by asterisks; its parts are put together once."""
+    step = lambda acc, s: F.struct(
+        F.greatest(acc["at"], s["end"]).alias("at"),
+        F.when(s["end"] <= acc["at"], acc["out"]).otherwise(
+            F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.repeat(F.lit("*"), s["end"] - F.greatest(s["start"], acc["at"]))))
+        ).alias("out"),
+    )
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
 
 
 def named_spans(spans: Column) -> Column:

@@ -66,6 +66,41 @@ def test_language(spark, docs, texts):
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in out.items())
 
 
+def plain_languages(rows):
+    """{id: (language, cosine)} of {id: (text, label)}, letter by letter: bind, bundle, compare."""
+    table, letters = langid._worker(7, langid.DIM)
+    letters = letters.astype(int)
+
+    def bundle(text):
+        symbols = [int(table[ord(c)]) for c in f" {text.lower()} "] if text else []
+        if not any(symbols):
+            return None
+        out = np.zeros(langid.DIM)
+        for a, b, c in zip(symbols, symbols[1:], symbols[2:]):
+            if a or b or c:
+                out += np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c]
+        return out
+
+    bundles = {i: bundle(t) for i, (t, _) in rows.items()}
+    learned = {}
+    for i, (_, lang) in rows.items():
+        if lang and bundles[i] is not None and (i is None or zlib.crc32(str(i).encode()) % 4 != 2):
+            learned[lang] = learned.get(lang, 0) + bundles[i]
+    out = {}
+    for i, v in bundles.items():
+        cosines = [(-float(v @ p / np.linalg.norm(v) / np.linalg.norm(p)), lang) for lang, p in learned.items()] if v is not None else []
+        out[i] = (min(cosines)[1], max(0.0, -min(cosines)[0])) if cosines else ("und", 0.0)
+    return out
+
+
+def test_language_is_the_plain_cosine(docs, texts):
+    out = table(langid.identify(docs), "doc_id")
+    want = plain_languages({i: (t, ["en", "fr", None][i % 3]) for i, t in enumerate(texts)})
+    for i, (lang, cosine) in want.items():
+        assert np.isclose(out[i]["score"], cosine, atol=1e-4)
+        assert out[i]["lang_pred"] == lang or cosine == 0 and lang != "und"
+
+
 def test_language_held_out_accuracy(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     j = langid.identify(d).join(d.select("doc_id", "lang"), "doc_id").where("held_out and lang_pred <> 'und'")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import time
+
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 from .conftest import frame
-from .test_operators import brute_components, lower
+from .test_operators import brute_components, lower, plain_languages
 from clickloom.llm import langid, secrets
 
 
@@ -31,7 +34,9 @@ def test_columns(steps):
 
 def test_language(steps):
     a, b = map(by_id, steps[0])
-    assert set(b) == {i for i, r in a.items() if any(c.isalpha() for c in r["text"] or "")}
+    plain = plain_languages({i: (r["text"], r["lang"]) for i, r in a.items()})
+    assert set(b) == {i for i, r in a.items() if plain[i][0] != "und" and (plain[i][1] >= corpus_pipeline.MIN_COSINE or len(r["text"]) < corpus_pipeline.MIN_CHARS)}
+    assert any(plain[i][0] != "und" for i in set(a) - set(b))
     assert all(r["lang"] for r in b.values()) and all(b[i]["lang"] == a[i]["lang"] for i in b if a[i]["lang"])
     assert langid.DIM > 0
 
@@ -104,3 +109,48 @@ def test_secrets_of_repeated_and_null_ids(spark):
         for s, _, e in secrets.reference_spans(t):
             want[s:e] = "*" * (e - s)
         assert "*" in want and (i, "".join(want)) in got
+
+
+CLASHES = ["row", "key", "at", "kept", "spans", "_lang", "own", "group", "stays", "no_text", "lang_pred", "score", "_row", "_at", "_key", "_n", "rules", "component_id", "odd name", "a.b"]
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_clashing_names_and_empty_tables(spark, name, stage):
+    rows = [(1, "password = hunter22 and so on"), (2, "PASSWORD = hunter22 and so on"), (3, LINK), (4, LINK + " more"), (None, "letters"), (6, None), (6, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, *(f"{c}{i}" for c in CLASHES)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES))
+    out = stage(spark, docs, "")
+    if name == "packing":
+        assert {r["doc_id"] for r in out.collect()} == {1, 2, 3, 4, 6, None}
+    else:
+        assert out.columns == docs.columns
+        kept = out.collect()
+        assert kept and all(r[c] == f"{c}{r['doc_id']}" for r in kept for c in CLASHES)
+    assert stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_language_decides(spark):
+    plain = "the quick dog and the slow fox went over the hill to see the house"
+    rows = [(i, plain + str(i), "en", "s", 1) for i in range(8)] + [(100, "ЖЖЖЩЩЩ ЩЖЩЖ" * 12, "en", "s", 1), (101, plain, None, "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r["doc_id"]: r["lang"] for r in corpus_pipeline.language_stage(spark, docs.where("doc_id <> 100"), "").collect()}
+    assert out == {**{i: "en" for i in range(8)}, 101: "en"}
+    scores = {r["doc_id"]: r["score"] for r in langid.identify(docs, train=docs.where("doc_id < 50")).collect()}
+    assert scores[100] < corpus_pipeline.MIN_COSINE < min(scores[i] for i in range(8))
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language_stage(spark, unlabelled, "").count() == 10
+
+
+def test_ties_in_stages(spark):
+    rows = [(5, "tie"), (5, "tie"), (5, "TIE"), (5, "Tie")]
+    assert len(through(spark, corpus_pipeline.exact_stage, rows)) == 1
+    assert len(through(spark, corpus_pipeline.near_stage, [(5, LINK), (5, LINK), (5, LINK + " x")])) == 1
+
+
+def test_very_many_secrets_in_one_text(spark):
+    text = " é ".join(f"token: abcdef{i}" for i in range(10_000))
+    began = time.monotonic()
+    ((_, got),) = through(spark, corpus_pipeline.secret_stage, [(1, text)])
+    want = list(text)
+    for s, _, e in secrets.reference_spans(text):
+        want[s:e] = "*" * (e - s)
+    assert got == "".join(want) and time.monotonic() - began < 120
