@@ -3,73 +3,84 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.llm import exact, langid, ngram_join, packing, secrets
-from clickloom.llm.common import documents, join_groups, written
+from clickloom.llm.common import documents, join_groups, row_of, written
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A text of MIN_CHARS characters or more that is like no known language by MIN_COSINE is junk; shorter ones
+#: say too little.  On the 10,000 documents of sf0.1 the least cosine of such a text is 0.14.
+MIN_CHARS, MIN_COSINE = 100, 0.1
+
+
+def restored(docs: DataFrame, found: DataFrame, new: dict[str, Column] | None = None) -> DataFrame:
+    """The columns of ``docs`` out of the struct ``row``, some of them anew."""
+    return found.select(*((new or {}).get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a language (``und``); where ``lang`` is null it is filled in.
+    """Drop documents without a language, and long ones that are like none of the known ones (MIN_CHARS, MIN_COSINE).
 
-    Every row is decided by its own text, also where ids are null or repeated.
+    Where ``lang`` is null it becomes the prediction.  Null and empty texts, and others
+    without a letter, go.  If no row tells a language, nothing can be predicted; then every text with a letter stays.
+    Every row is decided by its own text, also where ids are null or repeated.  Ties between
+    languages go to the first by name.  An empty table stays empty; further columns of any name are kept.
     """
-    found = langid.identify(docs, whole=True).where("lang_pred <> 'und'")
-    return found.select(*(F.coalesce(F.col("row.lang"), "lang_pred").alias(c) if c == "lang" else F.col(f"row.{c}") for c in docs.columns))
+    if langid.training_rows(docs).isEmpty():
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = langid.identify(docs, whole=True).where((F.col("lang_pred") != "und") & ((F.col("score") >= MIN_COSINE) | (F.length("row.text") < MIN_CHARS)))
+    return restored(docs, found, {"lang": F.coalesce(F.col("row.lang"), "lang_pred")})
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows equal but for the case of A-Z, one with the largest doc_id stays; null is the smallest.
 
-    A row is known by its id and the SHA-256 of its text, so ids may be null or repeated.
-    Of rows that repeat both, the one whose text comes first stays.
+    Null and empty texts are equal.  A row is known by its id and the SHA-256 of its text, so ids may be null or repeated.
+    Of rows that repeat both, the one whose text comes first stays.  An empty table stays empty; further
+    columns of any name are kept.
     """
     at = lambda sha: F.concat_ws(":", F.col("doc_id").cast("long"), sha)
-    groups = exact.exact_groups(docs).where("group_size > 1").groupBy(at(F.col("text_sha256")).alias("_at"))
-    marks = written(groups.agg(F.first("kept").alias("_kept"), F.count(F.lit(1)).alias("_times")).where("not _kept or _times > 1").drop("_times"), "exact-marks")
-    marked = docs.withColumn("_at", at(F.sha2(exact.normal("text"), 256))).join(marks, "_at", "left")
-    out = marked.where("_kept is null").select(*docs.columns)
-    if marks.where("_kept").isEmpty():
-        return out
-    one = marked.where("_kept").groupBy("_at").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("_one"))
-    return out.unionByName(one.select("_one.*"))
+    groups = exact.exact_groups(docs).where("group_size > 1").groupBy(at(F.col("text_sha256")).alias("at"))
+    marks = written(groups.agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("times")).where("not kept or times > 1").drop("times"), "exact-marks")
+    marked = docs.select(at(F.sha2(exact.normal("text"), 256)).alias("at"), row_of(docs).alias("row")).join(marks, "at", "left")
+    out = marked.where("kept is null").select("row")
+    if not marks.where("kept").isEmpty():
+        out = out.unionByName(marked.where("kept").groupBy("at").agg(F.min_by("row", F.coalesce("row.text", F.lit(""))).alias("row")).select("row"))
+    return restored(docs, out)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows linked by five-word shingles with a similarity of 0.8, one with the smallest doc_id stays; null is the largest.
 
-    The rows are written once with a key, and linked and dropped by it, so ids may be null or repeated.
+    Null and empty texts, and others without a word, are linked with nothing and stay.  Among rows of the same
+    smallest id, the first one written stays.  The rows are written once with a key, and linked and
+    dropped by it, so ids may be null or repeated.  An empty table stays empty; further columns of any name are kept.
     """
-    keyed = written(docs.withColumn("_row", F.monotonically_increasing_id()), "near-input")
-    found = ngram_join.components(keyed.select(F.col("_row").alias("doc_id"), "text"), words=5, percent=80).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
-    members = written(found.join(keyed.select("_row", "doc_id"), "_row"), "near-rows")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("_none"), F.col("doc_id"), F.col("_row")))
-    stay = members.groupBy("_group").agg(first["_row"].alias("_stays"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    gone = join_groups(members.select("_row", "_group"), stay, ["_group"], F.col("_row").cast("string")).where("_stays <> _row").select("_row")
-    return keyed.join(gone, "_row", "left_anti").select(*docs.columns)
+    keyed = written(docs.select(F.monotonically_increasing_id().alias("key"), row_of(docs).alias("row")), "near-input")
+    rows = keyed.select("key", F.col("row.doc_id").alias("own"), F.col("row.text").alias("text"))
+    found = ngram_join.components(rows.select(F.col("key").alias("doc_id"), "text"), words=5, percent=80).select(F.col("doc_id").alias("key"), F.col("component_id").alias("group"))
+    members = written(found.join(rows.select("key", "own"), "key"), "near-rows")
+    first = F.min(F.struct(F.col("own").isNull().alias("none"), F.col("own"), F.col("key")))
+    stay = members.groupBy("group").agg(first["key"].alias("stays"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    gone = join_groups(members.select("key", "group"), stay, ["group"], F.col("key").cast("string")).where("stays <> key").select("key")
+    return restored(docs, keyed.join(gone, "key", "left_anti"))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Overwrite secrets with asterisks, one for each character; no document goes.
 
-    Every row is masked by the spans of its own text, also where ids are null or repeated.
+    Spans that overlap are masked as one.  Every row is masked by the spans of its own text, also where
+    ids are null or repeated; a null text stays null, an empty one empty.  An empty table stays empty;
+    further columns of any name are kept.
     """
-    step = lambda acc, s: F.struct(
-        F.greatest(acc["at"], s["end"]).alias("at"),
-        F.when(s["end"] <= acc["at"], acc["out"]).otherwise(
-            F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.repeat(F.lit("*"), s["end"] - F.greatest(s["start"], acc["at"])))
-        ).alias("out"),
-    )
-    masked = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    text = F.when(F.col("row._no_text"), F.lit(None)).when(F.size("spans") > 0, masked).otherwise(F.col("text"))
-    return secrets.scan(docs, whole=True).select(*(text.alias(c) if c == "text" else F.col(f"row.{c}") for c in docs.columns))
+    found = secrets.scan(docs, whole=True)
+    text = F.when(~F.col("no_text"), F.when(F.size("spans") > 0, secrets.masked(F.col("text"), F.col("spans"))).otherwise(F.col("text")))
+    return restored(docs, found, {"text": text})
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into sequences of 2048 tokens."""
+    """Pack what is left into sequences of 2048 tokens, as ``packing.pack_documents`` says: a row per piece, with its ids."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
