@@ -53,6 +53,10 @@ def _runs(spark: SparkSession, a: argparse.Namespace) -> dict:
     return {"runs": [r.asDict() for r in contracts.runs(spark, a.root).orderBy("run_id").collect()]}
 
 
+def _run(spark: SparkSession, a: argparse.Namespace) -> dict:
+    return contracts.get_run(a.root, a.run_id)
+
+
 def _compare(spark: SparkSession, a: argparse.Namespace) -> dict:
     return {"metrics": [r.asDict() for r in contracts.compare_runs(spark, a.root, a.first, a.second).orderBy("metric").collect()]}
 
@@ -83,6 +87,7 @@ def parser() -> argparse.ArgumentParser:
     job("simulate", _simulate, "stream", "out", budget=10_000.0, slots=1, rule="second_price")
     job("evaluate", _evaluate, "scored", group=None, bins=10)
     job("runs", _runs, "root")
+    job("run", _run, "root", "run_id")
     job("compare", _compare, "root", "first", "second")
     job("export", _export, "root", "run_id", "output")
     return p

@@ -10,8 +10,10 @@ import platform
 import random
 import re
 import shutil
+import subprocess
 from dataclasses import asdict, dataclass, field, fields
 from datetime import datetime, timezone
+from importlib import metadata
 from pathlib import Path
 
 TASKS, SPLITS = ("ctr", "cvr", "multitask"), ("train", "valid", "test")
@@ -103,7 +105,24 @@ def seed_everything(seed: int) -> None:
 def environment() -> dict:
     import pyspark
 
-    return {"python": platform.python_version(), "platform": platform.platform(), "pyspark": pyspark.__version__}
+    return {"python": platform.python_version(), "platform": platform.platform(), "pyspark": pyspark.__version__, "git": git_state(), "packages": packages()}
+
+
+def git_state(folder: str = ".") -> dict:
+    """Commit and whether files differ from it; empty outside a repository."""
+    def ask(*args: str) -> str | None:
+        try:
+            return subprocess.run(["git", *args], cwd=folder, capture_output=True, text=True, timeout=10, check=True).stdout.strip()
+        except (OSError, subprocess.SubprocessError):
+            return None
+
+    commit = ask("rev-parse", "HEAD")
+    return {"commit": commit, "dirty": bool(ask("status", "--porcelain"))} if commit else {}
+
+
+def packages() -> dict[str, str]:
+    """Installed packages and their versions."""
+    return {d.metadata["Name"]: d.version for d in metadata.distributions() if d.metadata["Name"]}
 
 
 def logger(name: str, level: int = logging.INFO) -> logging.Logger:
@@ -196,6 +215,23 @@ class RunFolder:
     def artifacts(self) -> list[str]:
         return sorted(p.name for p in (self.path / "artifacts").iterdir())
 
+    def save_checkpoint(self, path: str, step: int) -> Path:
+        return Path(shutil.copy2(path, self.path / "checkpoints" / f"step_{step:09d}{Path(path).suffix}"))
+
+    def checkpoints(self) -> list[str]:
+        """By step."""
+        return sorted(p.name for p in (self.path / "checkpoints").iterdir())
+
+
+def get_run(root: str, run_id: str) -> dict:
+    """One run: its description, metrics if there are any, and the files of its parts."""
+    path = Path(root) / run_id
+    if not (path / "run_meta.json").exists():
+        raise KeyError(f"no run {run_id!r} in {root}")
+    measured = path / "metrics.json"
+    files = {part: sorted(str(p.relative_to(path / part)) for p in (path / part).rglob("*") if p.is_file()) for part in RunFolder.PARTS if (path / part).is_dir()}
+    return RunMeta.load(str(path / "run_meta.json")).to_dict() | {"metrics": Metrics.load(str(measured)).to_dict() if measured.exists() else None, "files": files}
+
 
 def runs(spark, root: str):
     """The catalog of runs: run_id, name, started, status, config_hash."""

@@ -26,8 +26,8 @@ def _shares(c: DataFrame, k: int) -> DataFrame:
 
 
 def psi_by_field_day(c: DataFrame, k: int = 50, eps: float = 1e-6) -> DataFrame:
-    """feature, split, day, psi, n_rows."""
-    return _shares(c, k).groupBy("feature", "split", "day").agg(F.sum(psi_term(F.col("p"), F.col("q"), eps)).alias("psi"), F.first("n_rows").alias("n_rows"))
+    """feature, split, day, psi, n_rows, in that order of rows."""
+    return _shares(c, k).groupBy("feature", "split", "day").agg(F.sum(psi_term(F.col("p"), F.col("q"), eps)).alias("psi"), F.first("n_rows").alias("n_rows")).orderBy("feature", "split", "day")
 
 
 def psi_components(c: DataFrame, k: int = 50, eps: float = 1e-10) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import asdict, dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import number
@@ -53,6 +55,13 @@ class FeatureMap:
     def add_feature(self, spec: FeatureSpec) -> None:
         self.features.append(spec)
 
+    def to_json(self) -> str:
+        return json.dumps({"features": [asdict(f) for f in self.features]}, indent=2, ensure_ascii=False)
+
+    @classmethod
+    def from_json(cls, text: str) -> FeatureMap:
+        return cls([FeatureSpec(**f) for f in json.loads(text).get("features", [])])
+
     def fit(self, train: DataFrame) -> FittedFeatureMap:
         tables, moments = {}, {}
         for f in self.features:
@@ -72,6 +81,23 @@ class FittedFeatureMap:
     tables: dict[str, DataFrame]
     moments: dict[str, tuple[float, float]]
 
+    def save(self, folder: str) -> None:
+        """What was fitted, as tables: the specification and moments in one row, and all vocabularies."""
+        spark = SparkSession.active()
+        state = [(self.spec.to_json(), json.dumps(self.moments))]
+        spark.createDataFrame(state, "spec string, moments string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/state")
+        empty = spark.createDataFrame([], "feature string, value string, id int")
+        named = [t.select(F.lit(n).alias("feature"), F.col("value").cast("string"), F.col("id").cast("int")) for n, t in self.tables.items()]
+        reduce(DataFrame.unionByName, named, empty).write.mode("overwrite").partitionBy("feature").parquet(f"{folder}/vocabularies")
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> FittedFeatureMap:
+        """Vocabularies come back with their values as strings."""
+        state = spark.read.parquet(f"{folder}/state").first()
+        spec = FeatureMap.from_json(state["spec"])
+        rows = spark.read.schema("value string, id int, feature string").parquet(f"{folder}/vocabularies")
+        return cls(spec, {f.name: rows.where(F.col("feature") == f.name).select("value", "id") for f in spec.features if f.transform == "vocab"}, {k: tuple(v) for k, v in json.loads(state["moments"]).items()})
+
     def transform(self, df: DataFrame) -> DataFrame:
         """Replace each feature by its encoding.  Vocabularies have a stated size; Spark broadcasts the small ones."""
         for f in self.spec.features:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clip, unit_hash
@@ -90,35 +92,103 @@ def evaluate(scored: DataFrame, group: str | None = None, n_bins: int = 10) -> D
     return _separation(c).join(_logloss(c), "group").join(_calibration(c, n_bins), "group")
 
 
-def _replicates(rows: DataFrame, ident: str, b: int, key: str) -> DataFrame:
-    """Poisson(1) weights for each row and replicate, from a hash, so that any engine draws the same."""
-    w = rows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
-    u = unit_hash(key, F.concat_ws(":", F.col(ident).cast("string"), F.col("replicate").cast("string")))
+#: Groups of rows, by a hash of their id, that get one weight in a replicate, so that weights are drawn for
+#: CELLS x replicates, however many rows there are.
+CELLS, REPLICATES = 1024, 10_000
+
+
+def _cell(ident: str, key: str) -> Column:
+    return F.floor(unit_hash(key, F.col(ident)) * CELLS).cast("int")
+
+
+def _weights(spark: SparkSession, b: int, key: str) -> DataFrame:
+    """cell, replicate, weight (1 or more): Poisson(1) from a hash, so that any engine draws the same."""
+    drawn = spark.range(0, CELLS, 1, min(CELLS, int(spark.conf.get("spark.sql.shuffle.partitions")))).select(F.col("id").cast("int").alias("cell"), F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("replicate"))
+    u = F.col("u")
     # inverse distribution function of Poisson(1)
     steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
     weight = F.lit(len(steps))
     for k in reversed(range(len(steps))):
         weight = F.when(u < steps[k], F.lit(k)).otherwise(weight)
-    return w.withColumn("weight", weight)
+    ident = F.concat_ws(":", F.col("cell").cast("string"), F.col("replicate").cast("string"))
+    return drawn.withColumn("u", unit_hash(key, ident)).select("cell", "replicate", weight.alias("weight")).where("weight > 0")
+
+
+def _replicate_means(rows: DataFrame, ident: str, x: Column, b: int, key: str) -> DataFrame:
+    """replicate, m: weighted means.  Rows are summed by cell first, so CELLS rows meet the weights."""
+    cells = rows.select(_cell(ident, key).alias("cell"), x.cast("double").alias("x")).where("x is not null").groupBy("cell").agg(F.sum("x").alias("x"), F.count(F.lit(1)).alias("n"))
+    drawn = _weights(rows.sparkSession, b, key).join(F.broadcast(cells), "cell")
+    return drawn.groupBy("replicate").agg((F.sum(F.col("x") * F.col("weight")) / F.sum(F.col("n") * F.col("weight"))).alias("m"))
 
 
-def bootstrap_mean(rows: DataFrame, ident: str, value: str, b: int = 200, level: float = 0.95, key: str = "bootstrap_v1") -> DataFrame:
+def _interval(replicates: DataFrame, level: float) -> DataFrame:
+    low, high = (1 - level) / 2, 1 - (1 - level) / 2
+    return replicates.agg(F.percentile("m", low).alias("lower"), F.percentile("m", high).alias("upper"))
+
+
+def _p_value(replicates: DataFrame) -> DataFrame:
+    return replicates.agg(F.least(F.lit(1.0), 2 * F.least(F.avg((F.col("m") <= 0).cast("double")), F.avg((F.col("m") >= 0).cast("double")))).alias("p_value"))
+
+
+def bootstrap_mean(rows: DataFrame, ident: str, value: str, b: int = REPLICATES, level: float = 0.95, key: str = "bootstrap_v1") -> DataFrame:
     """estimate, lower, upper: percentile interval of a weighted mean, such as log loss or a rate.
 
-    One pass: weights are combined map-side into b sums, so nothing but b rows is shuffled on.
+    Rows are drawn by cell (CELLS groups by a hash of their id), so the cost besides one scan does not depend on their number.
     """
-    r = _replicates(rows.select(ident, F.col(value).cast("double").alias("x")), ident, b, key).groupBy("replicate").agg((F.sum(F.col("x") * F.col("weight")) / F.sum("weight")).alias("m"))
-    low, high = (1 - level) / 2, 1 - (1 - level) / 2
-    interval = r.agg(F.percentile("m", low).alias("lower"), F.percentile("m", high).alias("upper"))
+    interval = _interval(_replicate_means(rows, ident, F.col(value), b, key), level)
     return rows.agg(F.avg(F.col(value).cast("double")).alias("estimate")).join(F.broadcast(interval), F.lit(True))  # one row each
 
 
-def significance(rows: DataFrame, ident: str, a: str, b: str, n: int = 200, alpha: float = 0.05, key: str = "bootstrap_v1") -> DataFrame:
-    """difference, p_value, significant of the mean of a - b, by the share of replicates on either side of zero."""
-    d = rows.select(ident, (F.col(a) - F.col(b)).cast("double").alias("x"))
-    r = _replicates(d, ident, n, key).groupBy("replicate").agg((F.sum(F.col("x") * F.col("weight")) / F.sum("weight")).alias("m"))
-    p = r.agg(F.least(F.lit(1.0), 2 * F.least(F.avg((F.col("m") <= 0).cast("double")), F.avg((F.col("m") >= 0).cast("double")))).alias("p_value"))
-    return d.agg(F.avg("x").alias("difference")).join(F.broadcast(p), F.lit(True)).withColumn("significant", F.col("p_value") < alpha)
+#: Metrics of a table of counts (group, p, pos, neg) as (group, value); any function of that form is a metric.
+METRICS = {
+    "auc": lambda c: _separation(c).select("group", F.col("auc").alias("value")),
+    "gini": lambda c: _separation(c).select("group", F.col("gini").alias("value")),
+    "ks": lambda c: _separation(c).select("group", F.col("ks").alias("value")),
+    "logloss": lambda c: _logloss(c).select("group", F.col("logloss").alias("value")),
+    "ece": lambda c: _calibration(c, 10).select("group", F.col("ece").alias("value")),
+}
+
+
+def _replicate_metric(scored: DataFrame, ident: str, metric: Callable[[DataFrame], DataFrame], b: int, key: str, score: str) -> DataFrame:
+    """replicate, m of a metric: each replicate is a group of weighted counts by distinct score."""
+    rows = scored.select(_cell(ident, key).alias("cell"), F.col("y_true").cast("int").alias("y"), F.col(score).cast("double").alias("p")).where("y is not null and p is not null")
+    counts = rows.groupBy("cell", "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    drawn = counts.join(_weights(scored.sparkSession, b, key), "cell")
+    weighted = drawn.groupBy(F.col("replicate").cast("string").alias("group"), "p").agg(*(F.sum(F.col(x) * F.col("weight")).alias(x) for x in ("pos", "neg")))
+    return metric(weighted).select(F.col("group").cast("int").alias("replicate"), F.col("value").alias("m")).where("m is not null")
+
+
+def _metric_of(scored: DataFrame, metric: Callable[[DataFrame], DataFrame], score: str) -> DataFrame:
+    return metric(score_counts(scored.select("y_true", F.col(score).alias("y_pred")))).select("value")
+
+
+def bootstrap(scored: DataFrame, ident: str, metric: str | Callable[[DataFrame], DataFrame] = "auc", b: int = 200, level: float = 0.95, key: str = "bootstrap_v1") -> DataFrame:
+    """estimate, lower, upper of any metric of (y_true, y_pred): a name in METRICS or a function of counts by score.
+
+    Unlike a mean, such a metric needs the counts by distinct score (and cell) in every replicate, so
+    the work is their number times ``b``; bin the scores first where they are very many.
+    Replicates in which the metric is undefined are left out.
+    """
+    f = METRICS[metric] if isinstance(metric, str) else metric
+    interval = _interval(_replicate_metric(scored, ident, f, b, key, "y_pred"), level)
+    return _metric_of(scored, f, "y_pred").withColumnRenamed("value", "estimate").join(F.broadcast(interval), F.lit(True))
+
+
+def significance(rows: DataFrame, ident: str, a: str, b: str, n: int = REPLICATES, alpha: float = 0.05, key: str = "bootstrap_v1", metric: str | Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """difference, p_value, significant of a against b, by the share of replicates on either side of zero.
+
+    Without a metric, of the mean of a - b; with one, a and b are two scores of the same y_true rows.
+    """
+    if metric is None:
+        d = (F.col(a) - F.col(b)).cast("double")
+        p, difference = _p_value(_replicate_means(rows, ident, d, n, key)), rows.agg(F.avg(d).alias("difference"))
+    else:
+        f = METRICS[metric] if isinstance(metric, str) else metric
+        x, y = (_replicate_metric(rows, ident, f, n, key, c) for c in (a, b))
+        p = _p_value(x.join(y.withColumnRenamed("m", "other"), "replicate").select((F.col("m") - F.col("other")).alias("m")))
+        one, two = (_metric_of(rows, f, c) for c in (a, b))
+        difference = one.withColumnRenamed("value", "one").join(F.broadcast(two.withColumnRenamed("value", "two")), F.lit(True)).select((F.col("one") - F.col("two")).alias("difference"))
+    return difference.join(F.broadcast(p), F.lit(True)).withColumn("significant", F.col("p_value") < alpha)
 
 
 def offline_online_gap(offline: DataFrame, online: DataFrame) -> DataFrame:
@@ -128,9 +198,10 @@ def offline_online_gap(offline: DataFrame, online: DataFrame) -> DataFrame:
 
 
 def temperature(scored: DataFrame, grid: tuple[float, ...] = tuple(round(0.5 + 0.05 * i, 2) for i in range(51))) -> DataFrame:
-    """temperature, logloss: the divisor of the logit with the smallest log loss, over a grid in one pass."""
+    """temperature, logloss: the divisor of the logit with the smallest log loss, over a grid in one pass over the distinct scores."""
     p = F.least(F.greatest(F.col("p"), F.lit(1e-12)), F.lit(1 - 1e-12))
-    z = _grouped(scored, None).select("y", F.ln(p / (1 - p)).alias("z"), F.explode(F.array(*map(F.lit, grid))).alias("temperature"))
+    z = score_counts(scored).select("pos", "neg", F.ln(p / (1 - p)).alias("z"), F.explode(F.array(*map(F.lit, grid))).alias("temperature"))
     q = 1 / (1 + F.exp(-F.col("z") / F.col("temperature")))
     q = F.least(F.greatest(q, F.lit(1e-15)), F.lit(1 - 1e-15))
-    return z.groupBy("temperature").agg(F.avg(-(F.col("y") * F.ln(q) + (1 - F.col("y")) * F.ln(1 - q))).alias("logloss")).orderBy("logloss", "temperature").limit(1)
+    loss = -F.sum(F.col("pos") * F.ln(q) + F.col("neg") * F.ln(1 - q)) / F.sum(F.col("pos") + F.col("neg"))
+    return z.groupBy("temperature").agg(loss.alias("logloss")).orderBy("logloss", "temperature").limit(1)

@@ -23,7 +23,7 @@ def ctr_by_value(c: DataFrame, top: int = 2000, thresholds: tuple[int, ...] = (1
     low, high = wilson(F.col("clicks"), F.col("imps"))
     z = z_score(F.col("clicks"), F.col("imps"), F.col("p0"))
     flags = {f"pass_min_imps_{t}": F.col("imps") >= t for t in thresholds}
-    return b.withColumns({"lift_vs_global": F.col("ctr") / F.greatest("p0", F.lit(1e-12)), "wilson_lo": low, "wilson_hi": high, "zscore_vs_global": z} | flags).withColumn("is_suspicious", (F.col("imps") >= thresholds[-1]) & (F.abs("zscore_vs_global") >= 8)).drop("p0")
+    return b.withColumns({"lift_vs_global": F.col("ctr") / F.greatest("p0", F.lit(1e-12)), "wilson_lo": low, "wilson_hi": high, "zscore_vs_global": z} | flags).withColumn("is_suspicious", (F.col("imps") >= thresholds[-1]) & (F.abs("zscore_vs_global") >= 8)).drop("p0").orderBy("feature", F.desc("imps"), "value")
 
 
 def pair_cells(log: DataFrame, c: DataFrame, pairs: list[tuple[str, str]], k: int = 50) -> DataFrame:
@@ -58,7 +58,7 @@ def pair_interactions(cells: DataFrame) -> DataFrame:
 
 def pair_combos(cells: DataFrame, min_imps: int = 10_000) -> DataFrame:
     keep = ["pair", "feature_a", "feature_b", "a_bin", "b_bin", "imps", "clicks", "ctr", "lift_joint", "lift_over_marginal", "log_interaction"]
-    return pair_interactions(cells).where(F.col("imps") >= min_imps).select(*keep)
+    return pair_interactions(cells).where(F.col("imps") >= min_imps).select(*keep).orderBy("pair", F.desc("log_interaction"), "a_bin", "b_bin")
 
 
 def pair_summary(cells: DataFrame, min_imps: int = 10_000) -> DataFrame:
@@ -83,4 +83,4 @@ def pair_summary(cells: DataFrame, min_imps: int = 10_000) -> DataFrame:
     )
     wins = F.coalesce(F.col("most") > F.abs("first.log_interaction"), F.lit(False))
     best = lambda f: F.when(wins, F.col(f"top.{f}")).otherwise(F.col(f"first.{f}"))
-    return g.select("pair", "feature_a", "feature_b", "mi_y_combo", "n_combos", best("a_bin").alias("best_combo_a"), best("b_bin").alias("best_combo_b"), best("imps").alias("best_combo_imps"), best("log_interaction").alias("best_combo_log_interaction"))
+    return g.select("pair", "feature_a", "feature_b", "mi_y_combo", "n_combos", best("a_bin").alias("best_combo_a"), best("b_bin").alias("best_combo_b"), best("imps").alias("best_combo_imps"), best("log_interaction").alias("best_combo_log_interaction")).orderBy(F.desc("mi_y_combo"), "pair")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as X
 from ..operators import auction, drift, features, metrics, profile, significance, sketches, validate
 from ..schema import MISSING, OTHER
-from ..sources.clicklog import EVENT_FEATURES, ClickLogSource, SplitSpec, canon_events, event_log
+from ..sources.clicklog import EVENT_FEATURES, ClickLogSource, SplitSpec, canon_events, event_log, with_row_id
 from ..streaming import queries as streams
 from . import pipelines
 
@@ -274,12 +274,17 @@ def reliability_curve(spark, d):
 
 _POISSON = "CASE WHEN u < 0.36787944117144233 THEN 0 WHEN u < 0.7357588823428847 THEN 1 WHEN u < 0.9196986029286058 THEN 2 WHEN u < 0.9810118431238462 THEN 3 WHEN u < 0.9963401531726563 THEN 4 WHEN u < 0.9994058151824183 THEN 5 ELSE 6 END"
 
+# rows summed by cell, then every cell weighted in each of the replicates
+_U = "CAST(concat('0x', substr(md5(concat('bootstrap_v1|', {0})), 1, 8)) AS BIGINT) / 4294967296.0"
+_CELLS = f"""cells AS (SELECT CAST(floor({_U.format('_id')} * {metrics.CELLS}) AS INT) AS cell, sum({{x}}) AS x, count(*) AS n FROM scored GROUP BY 1),
+r AS (SELECT x, n, b, {_U.format("cell, ':', b")} AS u FROM cells, range({metrics.REPLICATES}) t(b)),
+m AS (SELECT b, sum(x * {_POISSON}) / sum(n * {_POISSON}) AS m FROM r GROUP BY b)"""
 
-@query(f"""WITH {LOG}, {SCORED}, r AS (SELECT y AS x, b, CAST(concat('0x', substr(md5(concat('bootstrap_v1|', _id, ':', b)), 1, 8)) AS BIGINT) / 4294967296.0 AS u FROM scored, range(50) t(b)),
-m AS (SELECT b, sum(x * {_POISSON}) / sum({_POISSON}) AS m FROM r GROUP BY b)
+
+@query(f"""WITH {LOG}, {SCORED}, {_CELLS.format(x='y')}
 SELECT {_r('(SELECT avg(y) FROM scored)')} AS estimate, {_r('quantile_cont(m, 0.025)')} AS lower, {_r('quantile_cont(m, 0.975)')} AS upper FROM m""")
 def bootstrap_ctr(spark, d):
-    return metrics.bootstrap_mean(scored_events(spark, d), "_id", "y_true", 50)
+    return metrics.bootstrap_mean(scored_events(spark, d), "_id", "y_true")
 
 
 @query(f"""WITH {LOG}, {SCORED}, g AS (SELECT round(0.5 + 0.05 * i, 2)::DOUBLE AS temperature FROM range(51) t(i)), x AS (SELECT temperature, y, 1 / (1 + exp(-ln(p / (1 - p)) / temperature)) AS q FROM scored, g),
@@ -401,14 +406,13 @@ def sequence_encoding(spark, d):
     return m.fit_transform(joined).select("user_id", F.array_join("path", ">").alias("path"))
 
 
-@query(f"""WITH {LOG}, {SCORED}, r AS (SELECT abs(y - p) - abs(y - 0.2) AS x, b, CAST(concat('0x', substr(md5(concat('bootstrap_v1|', _id, ':', b)), 1, 8)) AS BIGINT) / 4294967296.0 AS u FROM scored, range(50) t(b)),
-m AS (SELECT b, sum(x * {_POISSON}) / sum({_POISSON}) AS m FROM r GROUP BY b), p AS (SELECT least(1.0, 2 * least(avg((m <= 0)::INT), avg((m >= 0)::INT))) AS p_value FROM m)
+@query(f"""WITH {LOG}, {SCORED}, {_CELLS.format(x='abs(y - p) - abs(y - 0.2)')}, p AS (SELECT least(1.0, 2 * least(avg((m <= 0)::INT), avg((m >= 0)::INT))) AS p_value FROM m)
 SELECT {_r('(SELECT avg(abs(y - p) - abs(y - 0.2)) FROM scored)')} AS difference, {_r('p_value')} AS p_value, p_value < 0.05 AS significant FROM p""")
 def significance_test(spark, d):
     """Is the score's absolute error another than that of a constant?"""
     y = F.col("y_true")
     rows = scored_events(spark, d).select("_id", F.abs(y - F.col("y_pred")).alias("a"), F.abs(y - 0.2).alias("b"))
-    return metrics.significance(rows, "_id", "a", "b", 50)
+    return metrics.significance(rows, "_id", "a", "b")
 
 
 @query(f"""WITH {LOG}, {SCORED}, {EVAL}, e AS (SELECT a.grp, auc, logloss, ece, mce, ks FROM a JOIN l USING (grp) JOIN c USING (grp) JOIN k USING (grp)), m AS (UNPIVOT e ON auc, logloss, ece, mce, ks INTO NAME metric VALUE v)
@@ -490,11 +494,53 @@ def stream_first_seen(spark, d):
     return streams.to_table(streams.first_seen(long), "first_seen")
 
 
-@query("""WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a)
-SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 12 HOUR, '%Y-%m-%d %H:%M:%S') AS "end", count(*) AS events FROM b GROUP BY user_id, s""")
+_SESSIONS = """WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 12 HOUR, '%Y-%m-%d %H:%M:%S') AS "end", count(*) AS events FROM b GROUP BY user_id, s"""
+_FORM = "yyyy-MM-dd HH:mm:ss"
+
+
+@query(_SESSIONS)
 def user_sessions(spark, d):
-    form = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
-    return streams.sessions(spark.read.parquet(f"{d}/events.parquet"), gap="12 hours").select("user_id", form("start"), form("end"), "events")
+    return streams.sessions(spark.read.parquet(f"{d}/events.parquet"), gap="12 hours").select("user_id", F.date_format("start", _FORM).alias("start"), F.date_format("end", _FORM).alias("end"), "events")
+
+
+@query(_SESSIONS)
+def stream_sessions(spark, d):
+    """The same by a stream."""
+    found = streams.to_table(streams.sessions(streams.read_stream(spark, d, "events.parquet"), gap="12 hours"), "sessions", "complete")
+    return found.select("user_id", F.date_format("start", _FORM).alias("start"), F.date_format("end", _FORM).alias("end"), "events")
+
+
+@query("""SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS impressions, count(*) FILTER (event_type = 'click') AS clicks
+FROM (SELECT event_type, date_trunc('hour', ts) - to_hours(CAST(k AS INT)) AS s FROM events, range(3) t(k)) GROUP BY ALL""")
+def stream_sliding_windows(spark, d):
+    """Rates over three hours, a window beginning each hour."""
+    rates = streams.to_table(streams.ctr_windows(streams.read_stream(spark, d, "events.parquet"), width="3 hours", slide="1 hour"), "sliding_windows", "complete")
+    return rates.select(F.date_format("start", _FORM).alias("start"), "impressions", "clicks")
+
+
+@query("""WITH RECURSIVE e AS (SELECT o_custkey % 50 AS budget_id, o_orderkey AS seq, o_totalprice / 1000 AS cost, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) AS i FROM orders),
+f AS (SELECT budget_id, i, seq, cost, cost <= 3000 AS accepted, CASE WHEN cost <= 3000 THEN cost ELSE 0.0 END AS spent FROM e WHERE i = 1
+      UNION ALL SELECT e.budget_id, e.i, e.seq, e.cost, f.spent + e.cost <= 3000, CASE WHEN f.spent + e.cost <= 3000 THEN f.spent + e.cost ELSE f.spent END FROM f JOIN e ON e.budget_id = f.budget_id AND e.i = f.i + 1)
+SELECT budget_id, seq, round(cost, 6) AS cost, accepted FROM f""", digits=6)
+def stream_budgets(spark, d):
+    """Greedy budgets over a stream, with one number of state each."""
+    o = streams.read_stream(spark, d, "orders.parquet").select((F.col("o_custkey") % 50).alias("budget_id"), F.col("o_orderkey").alias("seq"), (F.col("o_totalprice") / 1000).alias("cost"))
+    return streams.to_table(streams.spend_stream(o, 3000.0), "budgets")
+
+
+@query(f"WITH {LOG} SELECT feature, count(DISTINCT value) AS n_values, true AS close FROM longform GROUP BY feature")
+def builtin_sketch(spark, d):
+    """Is the estimate of the built-in sketch within 3 % of the distinct values?"""
+    long = profile.long_form(canon_events(spark, d), EVENT_FEATURES)
+    exact = long.groupBy("feature").agg(F.count_distinct("value").alias("n_values"))
+    return exact.join(sketches.approx_distinct(long, ["feature"]), "feature").select("feature", "n_values", (F.abs(F.col("estimate") - F.col("n_values")) <= 0.03 * F.col("n_values")).alias("close"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS first, CAST(count(*) - 1 AS BIGINT) AS last, CAST(count(*) AS BIGINT) AS distinct_ids FROM events")
+def row_ids(spark, d):
+    """Rows numbered without gaps."""
+    return with_row_id(spark.read.parquet(f"{d}/events.parquet"), "row_id").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first"), F.max("row_id").alias("last"), F.count_distinct("row_id").alias("distinct_ids"))
 
 
 def queries() -> dict[str, Query]:

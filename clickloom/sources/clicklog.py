@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from importlib import import_module
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -111,11 +112,19 @@ def find_parquet(path: str, default_name: str) -> str:
 
 
 def with_row_id(df: DataFrame, name: str = "id") -> DataFrame:
-    """Number rows without gaps, by file and place; one number per partition is all that is gathered."""
+    """Number rows without gaps, by partition and place.
+
+    Places inside partitions come from the scan; the partitions' row counts, one row for each,
+    are summed and broadcast, so rows stay where they are.
+    """
     if name in df.columns:
         return df
-    fields = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
-    return df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda r: (*r[0], r[1])), fields)
+    placed = df.select(F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in df.columns)).alias("row"), F.monotonically_increasing_id().alias("place"))
+    part = F.shiftright("place", 33)
+    counts = df.select(F.monotonically_increasing_id().alias("place")).groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    ident = (F.col("before") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))).alias(name)
+    return placed.join(F.broadcast(before), part == F.col("part")).select(*(F.col("row").getField(c).alias(c) for c in df.columns), ident)
 
 
 @SOURCES.register("click_log")
@@ -131,7 +140,12 @@ class ClickLogSource:
     time_col: str = "hour"
 
     def scan(self, spark: SparkSession, path: str) -> DataFrame:
-        df = spark.read.parquet(find_parquet(path, "train.parquet"))
+        try:
+            df = spark.read.parquet(find_parquet(path, "train.parquet"))
+        except AnalysisException as e:
+            if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise FileNotFoundError(f"no parquet log at {path!r}") from e
+            raise
         wanted = {"id", "click", self.time_col, *self.features, *S.ALIASES}
         if self.strict and (gone := [c for c in [self.time_col, *self.features] if c not in df.columns and c not in S.ALIASES.values()]):
             raise ValueError(f"columns are missing: {gone}")
@@ -152,13 +166,24 @@ class ClickLogSource:
         hour = F.col(self.time_col)
         return df.select(F.col("id").cast("string").alias("_id"), X.hour_day(hour).alias("_day"), X.hour_of_day(hour).alias("_hod"), label.alias("_label_click"), *(feature(f).alias(f) for f in self.features))
 
+    def _checked(self, log: DataFrame) -> DataFrame:
+        """A log whose hours can't be read at all is an error; the first row that can be read ends the look."""
+        if log.where("_day is not null").isEmpty() and not log.isEmpty():
+            raise ValueError(f"column {self.time_col} holds no hour")
+        return log
+
     def load(self, spark: SparkSession) -> DataFrame:
         """The canonical log with its split; rows of an external test file count as test in addition."""
-        out = self.split.assign(self.canonicalize(self.scan(spark, self.train_path)))
+        out = self.split.assign(self._checked(self.canonicalize(self.scan(spark, self.train_path))))
         if self.test_path:
-            out = out.unionByName(self.canonicalize(self.scan(spark, self.test_path), external_test=True).withColumn("split", F.lit("test")))
+            out = out.unionByName(self._checked(self.canonicalize(self.scan(spark, self.test_path), external_test=True)).withColumn("split", F.lit("test")))
         return out
 
+    def config(self) -> dict:
+        """The configuration that ``build_source`` makes this source from."""
+        params = {k: v for k, v in asdict(self).items() if k != "split"}
+        return {"source": "click_log", "params": params, "split": asdict(self.split)}
+
 
 @SOURCES.register("delimited")
 @dataclass
@@ -211,13 +236,30 @@ def read_auctions(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumns({"num_slots": F.coalesce("num_slots", F.lit(1)), "auction_type": F.coalesce("auction_type", F.lit("second_price"))})
 
 
+def stream_auctions(spark: SparkSession, folder: str, files: int = 1) -> DataFrame:
+    """Replay a recorded stream as a stream, some files at a time."""
+    return spark.readStream.schema(S.AUCTION).option("maxFilesPerTrigger", files).json(folder).where("auction_id is not null")
+
+
 def write_auctions(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def append_auctions(df: DataFrame, path: str) -> None:
+    """Add auctions to a recorded stream."""
+    df.write.mode("append").json(path)
+
+
+def auction_at(auctions: DataFrame, index: int) -> dict | None:
+    """The auction at a place of the stream in the order of (timestamp, auction_id); from the end where negative, None past it."""
+    order = [F.desc("timestamp"), F.desc("auction_id")] if index < 0 else ["timestamp", "auction_id"]
+    first = auctions.orderBy(*order).offset(-index - 1 if index < 0 else index).limit(1).collect()
+    return first[0].asDict(recursive=True) if first else None
+
+
 def mini_batches(df: DataFrame, size: int = 32, shuffle: bool = False, seed: int = 42):
-    """Batches of rows for a trainer, streamed partition by partition."""
-    rows, batch = (df.orderBy(F.rand(seed)) if shuffle else df).toLocalIterator(), []
+    """Batches of rows for a trainer, streamed partition by partition; ``shuffle`` mixes the rows of each partition."""
+    rows, batch = (df.sortWithinPartitions(F.rand(seed)) if shuffle else df).toLocalIterator(prefetchPartitions=True), []
     for r in rows:
         batch.append(r.asDict())
         if len(batch) == size:

@@ -289,3 +289,99 @@ def test_command_line(spark, tmp_path, store):
     assert os.path.exists(cli.main(["export", f"{tmp_path}/runs", runs[0].id, f"{tmp_path}/a.zip"], spark)["file"])
     with pytest.raises(FileNotFoundError):
         reports.export_run(f"{tmp_path}/runs", "none", f"{tmp_path}/b.zip")
+
+
+def test_row_ids_have_no_gaps(spark):
+    df = spark.range(0, 1000, 1, 7).where("id % 3 > 0").select(F.col("id").alias("a.b"), F.lit("x").alias("place"))
+    out = C.with_row_id(df, "n")
+    assert out.columns == ["a.b", "place", "n"] and sorted(r["n"] for r in out.collect()) == list(range(666))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "ExistingRDD" not in plan
+
+
+def test_errors_of_logs(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        C.ClickLogSource(str(tmp_path / "none")).load(spark)
+    spark.createDataFrame([(1, None), (0, None)], "click int, hour string").write.parquet(str(tmp_path / "log"))
+    with pytest.raises(ValueError, match="hour"):
+        C.ClickLogSource(str(tmp_path / "log"), split=C.SplitSpec("none")).load(spark)
+    source = C.ClickLogSource("p", split=C.SplitSpec("none"), features=["C1"])
+    assert C.build_source(source.config()) == source
+
+
+def test_bootstrap_of_any_metric(spark):
+    scored = spark.createDataFrame([(i, int(i % 3 == 0), ((i * 37) % 100) / 100 + (0.3 if i % 3 == 0 else 0.0)) for i in range(600)], "i int, y_true int, y_pred double")
+    scored = scored.withColumn("y_pred", F.least("y_pred", F.lit(0.99))).withColumn("flat", F.lit(0.3))
+    whole = metrics.evaluate(scored).first()
+    for name in ("auc", "logloss", "ks"):
+        r = metrics.bootstrap(scored, "i", name, 40).first()
+        assert math.isclose(r["estimate"], whole[name]) and r["lower"] < r["estimate"] < r["upper"] + 0.1
+    rate = lambda c: c.groupBy("group").agg((F.sum("pos") / F.sum(F.col("pos") + F.col("neg"))).alias("value"))
+    a, b = metrics.bootstrap(scored, "i", rate, 40).first(), metrics.bootstrap_mean(scored, "i", "y_true", 40).first()
+    assert all(math.isclose(a[c], b[c]) for c in ("estimate", "lower", "upper"))
+    s = metrics.significance(scored, "i", "y_pred", "flat", 40, metric="auc").first()
+    assert math.isclose(s["difference"], whole["auc"] - 0.5) and s["significant"]
+
+
+def test_bootstrap_cells_by_hand(spark):
+    """The interval against weights drawn one by one."""
+    import hashlib
+
+    u = lambda text: int(hashlib.md5(f"bootstrap_v1|{text}".encode()).hexdigest()[:8], 16) / 2**32
+    steps = [sum(math.exp(-1) / math.factorial(k) for k in range(n + 1)) for n in range(6)]
+    rows = [(i, float((i * 7) % 11)) for i in range(50)]
+    means = []
+    for b in range(30):
+        w = [sum(u(f"{math.floor(u(i) * metrics.CELLS)}:{b}") >= s for s in steps) for i, _ in rows]
+        means.append(sum(x * k for (_, x), k in zip(rows, w)) / sum(w))
+    means.sort()
+    at = lambda q: means[int(q * 29)] + (q * 29 - int(q * 29)) * (means[min(29, int(q * 29) + 1)] - means[int(q * 29)])
+    r = metrics.bootstrap_mean(spark.createDataFrame(rows, "i int, x double"), "i", "x", 30).first()
+    assert math.isclose(r["lower"], at(0.025)) and math.isclose(r["upper"], at(0.975))
+
+
+def test_results_come_in_order(spark):
+    c = profile.cube(C.canon_events(spark, "/root/testdata/sf0.001"), ["k", "value_bin"])
+    psi = [(r["feature"], r["split"], r["day"]) for r in drift.psi_by_field_day(c, 5).collect()]
+    rates = [(r["feature"], -r["imps"]) for r in significance.ctr_by_value(c, 5, (1, 2)).collect()]
+    assert psi == sorted(psi) and rates == sorted(rates)
+
+
+def test_recorded_auctions_grow_and_replay(spark, tmp_path):
+    path = str(tmp_path / "auctions")
+    make = lambda ids: spark.createDataFrame([(str(i), i, 1, "second_price") for i in ids], "auction_id string, timestamp long, num_slots int, auction_type string")
+    C.write_auctions(make(range(5)), path)
+    C.append_auctions(make(range(5, 8)), path)
+    a = C.read_auctions(spark, path)
+    assert a.count() == 8 and C.auction_at(a, 6)["auction_id"] == "6" and C.auction_at(a, -1)["auction_id"] == "7" and C.auction_at(a, 8) is None
+    from clickloom.streaming import queries as streams
+
+    assert streams.run_once(C.stream_auctions(spark, path).select("auction_id"), "replayed").count() == 8
+
+
+def test_saved_features_and_runs(spark, tmp_path):
+    df = spark.createDataFrame([("a", 4.0), ("a", 6.0), ("b", 8.0)], "v string, x double")
+    m = features.FeatureMap([features.FeatureSpec("v", "vocab", {"size": 1}), features.FeatureSpec("x", "normalize")])
+    assert features.FeatureMap.from_json(m.to_json()) == m
+    fitted = m.fit(df)
+    fitted.save(str(tmp_path / "fitted"))
+    again = features.FittedFeatureMap.load(spark, str(tmp_path / "fitted"))
+    assert sorted(map(tuple, again.transform(df).collect())) == sorted(map(tuple, fitted.transform(df).collect()))
+    run = contracts.RunFolder(str(tmp_path / "runs"))
+    run.save_config({"a": 1})
+    (tmp_path / "model.bin").write_bytes(b"1")
+    run.save_checkpoint(str(tmp_path / "model.bin"), 3)
+    got = contracts.get_run(str(tmp_path / "runs"), run.id)
+    assert run.checkpoints() == ["step_000000003.bin"] == got["files"]["checkpoints"] and got["config"] == {"a": 1} and "packages" in got["environment"]
+    with pytest.raises(KeyError):
+        contracts.get_run(str(tmp_path / "runs"), "none")
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    from types import SimpleNamespace
+
+    from clickloom import session
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: {}, master="spark://host:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(SimpleNamespace(sparkContext=context))
