@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -16,9 +17,9 @@ from pyspark.sql import functions as F
 from .common import crc_bucket, small_batches
 
 #: Labelled rows that everything is fitted on, at most: those of the smallest hash of their id.
-FIT_ROWS = 12_000
-VOTERS = 40  # learned lexicon voters, at most
-STEM = 5
+FIT_ROWS = 6_000
+VOTERS, SURE = 40, 3.0  # learned lexicon voters, at most, and the least log odds of one (two standard errors below the estimate)
+STEMS = (3, 4, 5, 7)  # letters of a longer word that count as a feature of their own
 MIN_DOCS = 5  # documents of the fitting rows that a word must occur in
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -29,17 +30,22 @@ PATTERNS = [
     r"[!?]{3,}",
     r"\b[A-Z]{4,}( [A-Z]{4,}){2,}",
     r"\b(go|just) (die|away|to hell)\b",
-    r"\b\w+[*#@$%]{2,}\w*\b",
+    r"(?<=\w)[*#@$%]{2,}\w",
 ]
 
 
+def stems_of(word: str) -> list[str]:
+    """A word and, marked, its first letters, as an insult may come in many inflections."""
+    return [word, *(f"^{word[:k]}" for k in STEMS if len(word) > k)]
+
+
+def distinct_words(text: str | None) -> set[str]:
+    return set(WORD.findall(text.lower())) if text else set()
+
+
 def words_of(text: str | None) -> set[str]:
-    """Distinct words, and the stems (marked, first STEM letters) of the longer ones, as an insult may come in many inflections."""
-    if not text:
-        return set()
-    words = set(WORD.findall(text.lower()))
-    words.update([f"^{w[:STEM]}" for w in words if len(w) > STEM])
-    return words
+    """Distinct words of a text and their stems."""
+    return {x for w in distinct_words(text) for x in stems_of(w)}
 
 
 def pattern_votes(text: str | None) -> list[bool]:
@@ -57,24 +63,29 @@ def _compiled() -> list[re.Pattern]:
 
 @dataclass
 class LabelModel:
-    """Two classes, binary voters; a vote's evidence is discounted by its correlation with others inside a class."""
+    """Two classes, binary voters; a vote's evidence is discounted by its correlation with others inside a class.
+
+    A voter that ``abstains`` votes for toxic or not at all: that an insult is missing says nothing.
+    """
 
     prior: float
     rates: np.ndarray  # voters x 2: chance of a vote in clean and toxic texts (the voters' accuracies)
     correlation: np.ndarray  # voters x voters, within classes
+    abstains: np.ndarray  # by voter
 
     def posterior(self, votes: np.ndarray, prior: np.ndarray | None = None) -> np.ndarray:
         prior = self.prior if prior is None else prior
         on = np.log(self.rates[:, 1]) - np.log(self.rates[:, 0])
-        off = np.log1p(-self.rates[:, 1]) - np.log1p(-self.rates[:, 0])
+        off = np.where(self.abstains, 0.0, np.log1p(-self.rates[:, 1]) - np.log1p(-self.rates[:, 0]))
         share = 1.0 / np.sqrt(np.maximum(self.correlation, 0).sum(axis=1))  # design effect of correlated votes
         logit = np.log(prior / (1 - prior)) + votes @ (share * (on - off)) + (share * off).sum()
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 25) -> LabelModel:
+def fit_label_model(votes: np.ndarray, start: np.ndarray, abstains: np.ndarray | None = None, rounds: int = 25) -> LabelModel:
     """Expectation-maximisation; votes are a 0/1 matrix (rows x voters), ``start`` each row's chance before any vote."""
     q, model = start, None
+    abstains = np.zeros(votes.shape[1], bool) if abstains is None else abstains
     for _ in range(rounds):
         weight = np.stack([1 - q, q])
         rates = ((weight @ votes + 0.05) / (weight.sum(axis=1, keepdims=True) + 1.0)).T
@@ -88,7 +99,7 @@ def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 25) -> L
         corr = cov / scale / scale[:, None]
         corr[np.abs(corr) < 0.2] = 0.0  # noise
         np.fill_diagonal(corr, 1.0)
-        model = LabelModel(float(np.clip(q.mean(), 0.005, 0.995)), rates, corr)
+        model = LabelModel(float(np.clip(q.mean(), 0.005, 0.995)), rates, corr, abstains)
         q = model.posterior(votes, start)
     return model
 
@@ -113,18 +124,18 @@ def word_hash(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word) - (1 << 63)
 
 
-class WordWeights(dict):
-    """Weight by word, found by the word's hash when it is first met."""
+class Telling(dict):
+    """The features with a weight among a word and its stems, found by their hashes when the word is first met."""
 
-    def __init__(self, by_hash: dict[int, float]):
+    def __init__(self, weights: dict[int, float]):
         super().__init__()
-        self.by_hash = by_hash
+        self.weights = weights
 
-    def __missing__(self, word: str) -> float:
+    def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) > 300_000:
             self.clear()
-        self[word] = w = self.by_hash.get(word_hash(word), 0.0)
-        return w
+        self[word] = found = tuple(h for h in map(word_hash, stems_of(word)) if h in self.weights)
+        return found
 
 
 @dataclass
@@ -133,11 +144,12 @@ class Classifier:
     patterns: np.ndarray
     bias: float
 
-    def score(self, text: str | None, words: WordWeights | None = None) -> float:
+    def score(self, text: str | None, telling: Telling | None = None) -> float:
         z = self.bias
         if text:
-            words = WordWeights(self.weights) if words is None else words
-            z += sum(map(words.__getitem__, words_of(text))) + float(self.patterns @ np.array(pattern_votes(text), float))
+            telling = Telling(self.weights) if telling is None else telling
+            found = set().union(*map(telling.__getitem__, distinct_words(text)))
+            z += math.fsum([self.weights[h] for h in found]) + float(self.patterns @ np.array(pattern_votes(text), float))
         return float(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
 
 
@@ -171,8 +183,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Classifier:
     return fit(flat[take], np.concatenate([[0], np.cumsum(lengths)]), bits[order].astype(float), found["toxic"].to_numpy()[order])
 
 
-def fit(flat: np.ndarray, ends: np.ndarray, patterns: np.ndarray, toxic: np.ndarray) -> Classifier:
-    """Fit on rows whose word hashes are flat[ends[i]:ends[i + 1]]."""
+def fit(flat: np.ndarray, ends: np.ndarray, patterns: np.ndarray, toxic: np.ndarray, modelled: bool = True) -> Classifier:
+    """Fit on rows whose word hashes are flat[ends[i]:ends[i + 1]]; not ``modelled``, on the labels themselves (to measure what the label model adds)."""
     n = len(ends) - 1
     if n == 0 or toxic.min() == toxic.max():
         # nothing to learn from: the general lexicon decides
@@ -190,7 +202,7 @@ def fit(flat: np.ndarray, ends: np.ndarray, patterns: np.ndarray, toxic: np.ndar
     # lexicon voters: the general lexicon, and words whose odds are well above the rest's beyond chance
     p, q = (pos + 0.5) / (toxic.sum() + 1), (neg + 0.5) / ((1 - toxic).sum() + 1)
     sure = np.log(p / q) - 2.0 * np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
-    learned = [k for k in np.argsort(-sure * np.sqrt(pos)) if sure[k] > 0.5][:VOTERS]
+    learned = [k for k in np.argsort(-sure * np.sqrt(pos)) if sure[k] > SURE][:VOTERS]
     lexicon = set(map(word_hash, LEXICON))
     general = [k for k, w in enumerate(names) if w in lexicon and sure[k] > 0]
     voters = list(dict.fromkeys([*learned, *general]))
@@ -199,9 +211,9 @@ def fit(flat: np.ndarray, ends: np.ndarray, patterns: np.ndarray, toxic: np.ndar
     for r, c in zip(rows[hit := np.isin(cols, voters)], cols[hit]):
         votes[r, at[c]] = 1
     votes[:, len(voters) :] = patterns
-    start = 0.05 + 0.9 * toxic.astype(float)
-    model = fit_label_model(votes, start)
-    chance = model.posterior(votes)
+    start = 0.01 + 0.98 * toxic.astype(float)  # what a given label says before any vote
+    model = fit_label_model(votes, start, np.ones(votes.shape[1], bool))
+    chance = model.posterior(votes, start) if modelled else toxic.astype(float)
     # the classifier sees the patterns, the voters' words, and words that go with toxic rows beyond chance
     told = (sure > 0) | np.isin(np.arange(len(names)), voters)
     rows, cols = rows[told[cols]], cols[told[cols]]
@@ -225,8 +237,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     classifier = learn(base, labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(~held))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordWeights(classifier.weights)
+        telling = Telling(classifier.weights)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([classifier.score(t.as_py(), words) for t in b.column(1)], pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([classifier.score(t.as_py(), telling) for t in b.column(1)], pa.float64())], ["doc_id", "score"])
 
     return base.mapInArrow(run, "doc_id long, score double").select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

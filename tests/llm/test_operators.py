@@ -275,6 +275,46 @@ def test_label_model_discounts_copies():
     assert abs(model.rates[3, 1] - 0.6) < 0.06 and abs(model.rates[3, 0] - 0.1) < 0.04
 
 
+def test_label_model_is_plain_em():
+    """The posteriors against the same sums one vote at a time; correlations are those of the last round."""
+    rng = random.Random(3)
+    votes = [[float(rng.random() < (0.7 if y else 0.1)) for _ in range(4)] for y in [i % 3 == 0 for i in range(60)]]
+    for v in votes:
+        v[1] = v[0]  # a copy
+    start = [0.9 if i % 3 == 0 else 0.1 for i in range(60)]
+    for abstains in ([False] * 4, [True, True, False, True]):
+        model = toxicity.fit_label_model(np.array(votes), np.array(start), np.array(abstains))
+        q = start
+        for _ in range(25):
+            rates = [[min(1 - 1e-4, max(1e-4, (sum(w * v[k] for w, v in zip(side, votes)) + 0.05) / (sum(side) + 1.0))) for side in ([1 - x for x in q], q)] for k in range(4)]
+            cov = [[sum(w * (v[a] - rates[a][y]) * (v[b] - rates[b][y]) for y, side in enumerate(([1 - x for x in q], q)) for w, v in zip(side, votes)) / 60 for b in range(4)] for a in range(4)]
+            corr = [[1.0 if a == b else cov[a][b] / np.sqrt(max(cov[a][a], 1e-6) * max(cov[b][b], 1e-6)) for b in range(4)] for a in range(4)]
+            share = [1 / np.sqrt(sum(max(0.0, x) for x in row if abs(x) >= 0.2)) for row in corr]
+            logits = []
+            for v, s in zip(votes, start):
+                z = np.log(s / (1 - s))
+                for k in range(4):
+                    z += share[k] * v[k] * np.log(rates[k][1] / rates[k][0])
+                    if not abstains[k]:
+                        z += share[k] * (1 - v[k]) * np.log((1 - rates[k][1]) / (1 - rates[k][0]))
+                logits.append(z)
+            q = [1 / (1 + np.exp(-z)) for z in logits]
+        assert np.allclose(model.posterior(np.array(votes), np.array(start)), q, atol=1e-6)
+
+
+def test_toxicity_scores_are_the_plain_sums(texts):
+    rng = random.Random(4)
+    words = sorted({x for t in texts for x in toxicity.words_of(t)})
+    weights = {toxicity.word_hash(w): rng.uniform(-2, 2) for w in words[::7]}
+    c = toxicity.Classifier(weights, np.array([0.5, -0.25, 1.0, 0.75, 0.125]), -1.0)
+    for t in [*texts, "WHAT A LONG LOUD LINE!!! you are an idiot, f**k go away"]:
+        found = set(re.findall(r"[^\W\d_]+", (t or "").lower()))
+        found |= {f"^{w[:k]}" for w in found for k in toxicity.STEMS if len(w) > k}
+        z = -1.0 + sum(weights.get(toxicity.word_hash(w), 0.0) for w in found)
+        z += sum(x for x, p in zip(c.patterns, toxicity.PATTERNS) if t and re.search(p, t))
+        assert np.isclose(c.score(t), 1 / (1 + np.exp(-max(-30, min(30, z)))))
+
+
 def test_secrets(docs, texts):
     out = table(secrets.scan_digests(docs), "doc_id")
     for i, t in enumerate(texts):
