@@ -43,7 +43,9 @@ def encoder(path: str):
                 return slow.encode(text, add_special_tokens=False).ids
             try:
                 return fast.encode_ordinary(text)
-            except BaseException:  # its regex engine gives up on very long runs of white space
+            except BaseException as e:  # its regex engine gives up on very long runs of white space
+                if type(e).__name__ != "PanicException" and not isinstance(e, ValueError):
+                    raise
                 return slow.encode(text, add_special_tokens=False).ids
 
         del special
