@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import small_batches, written
 
@@ -68,27 +69,42 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "
     """Cut each document (its ids, then the separator) into pieces of at most ``capacity`` tokens.
 
     All pieces but the first are full.  Returns _uid (unique, also where rows share a
-    doc_id), doc_id, piece, start, length, ids (little-endian unsigned 32-bit numbers).
+    doc_id), doc_id, piece, start, length, _packed (the ids, as ``with_ids`` reads them).
+    Ids are packed, four planes of bytes under zstd, as they are written and shuffled before they are read.
     """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, uid = encoder(path), TaskContext.get().partitionId() << 36
+        encode, uid, pack_ = encoder(path), TaskContext.get().partitionId() << 36, zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = np.array([*encode(text.as_py() or ""), SEPARATOR], "<u4")
                 start, end, k = 0, (len(ids) - 1) % capacity + 1, 0
                 while start < len(ids):
-                    out.append((uid, doc_id, k, start, end - start, ids[start:end].tobytes()))
+                    out.append((uid, doc_id, k, start, end - start, pack_(ids[start:end].view("u1").reshape(-1, 4).T.tobytes())))
                     uid += 1
                     start, end, k = end, end + capacity, k + 1
             cols = list(zip(*out)) if out else [[]] * 6
             types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["_uid", "doc_id", "piece", "start", "length", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["_uid", "doc_id", "piece", "start", "length", "_packed"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col)
-    return rows.mapInArrow(run, "_uid long, doc_id long, piece int, start long, length long, ids binary")
+    return rows.mapInArrow(run, "_uid long, doc_id long, piece int, start long, length long, _packed binary")
+
+
+def with_ids(cut: DataFrame) -> DataFrame:
+    """Pieces with ids (little-endian unsigned 32-bit numbers) for _packed, beside their other columns."""
+    kept = [c for c in cut.columns if c != "_packed"]
+    schema = T.StructType([*cut.select(kept).schema.fields, T.StructField("ids", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for b in batches:
+            ids = [np.frombuffer(unpack(p), "u1").reshape(4, -1).T.tobytes() for p in b.column("_packed").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(ids, pa.binary())], [*kept, "ids"])
+
+    return cut.mapInArrow(run, schema)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,5 +194,5 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col:
     columns are not read.
     """
     cut = written(pieces(docs, path, capacity, id_col, text_col), "pieces")
-    packed = cut.join(pack(cut, capacity), "_uid")
-    return packed.select("doc_id", "piece", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+    packed = cut.join(pack(cut, capacity), "_uid").select("doc_id", "piece", "start", "length", "sequence_id", "offset", "_packed")
+    return with_ids(packed).select("doc_id", "piece", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
