@@ -81,6 +81,21 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], spread: Col
     )
 
 
+def flagged(rows: DataFrame, keys: DataFrame, key: str, blocks: int = 1 << 16, words: int = 4) -> DataFrame:
+    """Rows with _maybe: false only if their ``key`` is not in ``keys``.
+
+    A Bloom filter in ``blocks`` rows of ``words`` 64-bit words (4 MB at any size of the input), which is all that is broadcast, however many keys there are;
+    the more there are, the more other rows are true as well.
+    """
+    h = F.xxhash64(key)
+    block, word, bit = F.pmod(h, F.lit(blocks)), F.pmod(F.shiftrightunsigned(h, 20), F.lit(words)), F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(63)).cast("int")
+    one = F.expr("shiftleft(1L, _bit)")
+    sets = keys.select(block.alias("_block"), word.alias("_word"), bit.alias("_bit")).groupBy("_block").agg(*(F.bit_or(F.when(F.col("_word") == w, one).otherwise(F.lit(0).cast("long"))).alias(f"_w{w}") for w in range(words)))
+    mask = F.coalesce(*(F.when(word == w, F.col(f"_w{w}")) for w in range(words)), F.lit(0).cast("long"))
+    found = rows.withColumn("_block", block).withColumn("_bit", bit).join(F.broadcast(sets), "_block", "left")
+    return found.select(*rows.columns, (mask.bitwiseAND(one) != 0).alias("_maybe"))
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """Connected components of edges (u, v): node, component (its smallest node).
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import flagged, small_batches, written
 
 BLOCK = 192
 MIN_CHUNK, MASK_BITS, MAX_CHUNK = 512, 11, 16_384
@@ -84,18 +84,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _flagged(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows with _maybe: false only if _key is not in ``keys``.
-
-    A Bloom filter in FILTER_BLOCKS rows, which is all that is broadcast, however many keys there are;
-    the more there are, the more other rows are true as well.
-    """
-    h = F.xxhash64("_key")
-    block, word, bit = F.pmod(h, F.lit(FILTER_BLOCKS)), F.pmod(F.shiftrightunsigned(h, 20), F.lit(FILTER_WORDS)), F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(63)).cast("int")
-    one = F.expr("shiftleft(1L, _bit)")
-    sets = keys.select(block.alias("_block"), word.alias("_word"), bit.alias("_bit")).groupBy("_block").agg(*(F.bit_or(F.when(F.col("_word") == w, one).otherwise(F.lit(0).cast("long"))).alias(f"_w{w}") for w in range(FILTER_WORDS)))
-    mask = F.coalesce(*(F.when(word == w, F.col(f"_w{w}")) for w in range(FILTER_WORDS)), F.lit(0).cast("long"))
-    found = rows.withColumn("_block", block).withColumn("_bit", bit).join(F.broadcast(sets), "_block", "left")
-    return found.select(*rows.columns, (mask.bitwiseAND(one) != 0).alias("_maybe"))
+    return flagged(rows, keys, "_key", FILTER_BLOCKS, FILTER_WORDS)
 
 
 def chunk_lists(docs: DataFrame) -> DataFrame:
@@ -133,10 +122,10 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     owner = (F.col("own._key") == F.col("_key")) & (F.col("own.seq") == F.col("seq"))
     moves = written(pairs.groupBy("_key").agg(F.sort_array(F.collect_list(F.when(~owner, F.struct("seq", "digest")))).alias("refs"), F.sort_array(F.collect_list(F.when(owner, F.col("seq")))).alias("shared")), "chunk-moves")
     # texts that certainly share nothing stay where they are; the others meet what they share in a shuffle
-    flagged = _flagged(keyed, moves)
+    told = _flagged(keyed, moves)
     none = moves.schema
-    alone = flagged.where("not _maybe").select(*keyed.columns, *(F.lit(None).cast(none[c].dataType).alias(c) for c in ("refs", "shared")))
-    placed = flagged.where("_maybe").drop("_maybe").join(moves.hint("shuffle_merge"), "_key", "left").unionByName(alone)
+    alone = told.where("not _maybe").select(*keyed.columns, *(F.lit(None).cast(none[c].dataType).alias(c) for c in ("refs", "shared")))
+    placed = told.where("_maybe").drop("_maybe").join(moves.hint("shuffle_merge"), "_key", "left").unionByName(alone)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.llm import exact, langid, ngram_join, packing, secrets
-from clickloom.llm.common import documents, join_groups, row_of, written
+from clickloom.llm.common import documents, flagged, join_groups, row_of, written
 
 #: A text of MIN_CHARS characters or more that is like no known language by MIN_COSINE is junk; shorter ones
 #: say too little.  On the 10,000 documents of sf0.1 the least cosine of such a text is 0.14.
@@ -38,13 +38,14 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts are equal.  A row is known by its id and the SHA-256 of its text, so ids may be null or repeated.
     Of rows that repeat both, the one whose text comes first stays.  An empty table stays empty; further
-    columns of any name are kept.
+    columns of any name are kept.  Only rows that a filter of fixed size can't tell from marked ones are shuffled.
     """
     at = lambda sha: F.concat_ws(":", F.col("doc_id").cast("long"), sha)
     groups = exact.exact_groups(docs).where("group_size > 1").groupBy(at(F.col("text_sha256")).alias("at"))
     marks = written(groups.agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("times")).where("not kept or times > 1").drop("times"), "exact-marks")
-    marked = docs.select(at(F.sha2(exact.normal("text"), 256)).alias("at"), row_of(docs).alias("row")).join(marks, "at", "left")
-    out = marked.where("kept is null").select("row")
+    told = flagged(docs.select(at(F.sha2(exact.normal("text"), 256)).alias("at"), row_of(docs).alias("row")), marks, "at")
+    marked = told.where("_maybe").join(marks.hint("shuffle_merge"), "at", "left")
+    out = told.where("not _maybe").select("row").unionByName(marked.where("kept is null").select("row"))
     if not marks.where("kept").isEmpty():
         out = out.unionByName(marked.where("kept").groupBy("at").agg(F.min_by("row", F.coalesce("row.text", F.lit(""))).alias("row")).select("row"))
     return restored(docs, out)
@@ -56,6 +57,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts, and others without a word, are linked with nothing and stay.  Among rows of the same
     smallest id, the first one written stays.  The rows are written once with a key, and linked and
     dropped by it, so ids may be null or repeated.  An empty table stays empty; further columns of any name are kept.
+    Only rows that a filter of fixed size can't tell from dropped ones are shuffled.
     """
     keyed = written(docs.select(F.monotonically_increasing_id().alias("key"), row_of(docs).alias("row")), "near-input")
     rows = keyed.select("key", F.col("row.doc_id").alias("own"), F.col("row.text").alias("text"))
@@ -63,8 +65,10 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     members = written(found.join(rows.select("key", "own"), "key"), "near-rows")
     first = F.min(F.struct(F.col("own").isNull().alias("none"), F.col("own"), F.col("key")))
     stay = members.groupBy("group").agg(first["key"].alias("stays"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    gone = join_groups(members.select("key", "group"), stay, ["group"], F.col("key").cast("string")).where("stays <> key").select("key")
-    return restored(docs, keyed.join(gone, "key", "left_anti"))
+    gone = written(join_groups(members.select("key", "group"), stay, ["group"], F.col("key").cast("string")).where("stays <> key").select("key"), "near-gone")
+    told = flagged(keyed, gone, "key")
+    out = told.where("not _maybe").select("row").unionByName(told.where("_maybe").join(gone.hint("shuffle_merge"), "key", "left_anti").select("row"))
+    return restored(docs, out)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

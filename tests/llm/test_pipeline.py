@@ -154,3 +154,36 @@ def test_very_many_secrets_in_one_text(spark):
     for s, _, e in secrets.reference_spans(text):
         want[s:e] = "*" * (e - s)
     assert got == "".join(want) and time.monotonic() - began < 120
+
+
+def shuffled_rows(df):
+    """Rows that the last job of ``df`` wrote to a shuffle whose rows have a text."""
+    df.collect()
+    plans, n = [df._jdf.queryExecution().executedPlan()], 0
+    while plans:
+        p = plans.pop()
+        kind = p.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            plans.append(p.finalPhysicalPlan())
+        elif kind.endswith("QueryStageExec"):
+            plans.append(p.plan())
+        else:
+            if kind == "ShuffleExchangeExec" and "text:string" in p.schema().simpleString():
+                n += p.metrics().apply("shuffleRecordsWritten").value()
+            plans += [p.children().apply(k) for k in range(p.children().size())]
+    return n
+
+
+@pytest.mark.parametrize("stage", [corpus_pipeline.exact_stage, corpus_pipeline.near_stage])
+def test_rows_that_meet_nothing_are_not_shuffled(spark, stage):
+    """At any size of the tables: without broadcasts of measured size, as where there are very many copies."""
+    rows = [(i, " ".join(f"word{i}x{k}" for k in range(12)), "en", "s", 1) for i in range(300)]
+    docs = spark.createDataFrame([*rows, (900, rows[0][1], "en", "s", 1), (901, rows[1][1], "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = stage(spark, docs, "")
+        assert out.count() == 300
+        assert shuffled_rows(out) < 30
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
