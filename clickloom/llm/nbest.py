@@ -268,6 +268,18 @@ def lattice(path: str) -> Lattice:
     return _lattices[path]
 
 
+def library_packed(sp, words: list[str]) -> list[bytes]:
+    """Packed ids that the library gives each pre-token, wherever it stands.
+
+    The library puts one mark before every text, so the space that a pre-token starts with is dropped first; others,
+    and a space alone, are encoded behind a line feed, which is a pre-token of its own.
+    """
+    spaced = [len(w) > 1 and w[0] == " " for w in words]
+    found = sp.encode([w[1:] if own else "\n" + w for w, own in zip(words, spaced)], num_threads=1)
+    base = len(sp.encode("\n"))
+    return [np.array(x if own else x[base:], "<u4").tobytes() for x, own in zip(found, spaced)]
+
+
 def merge_top(lists: list[list[int]], n: int) -> list[tuple[int, tuple[int, ...]]]:
     """The ``n`` smallest sums of one entry from each ascending list, with the entries chosen."""
     sums: list[tuple[int, tuple[int, ...]]] = [(0, ())]
@@ -296,7 +308,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.words, self.names, self.packed, self.tops = self._Words(), [], [], {}
+        self.words, self.names, self.packed, self.library, self.tops = self._Words(), [], [], [], {}
         self.score, self.gap, self.size = (np.zeros(1 << 16, np.int64) for _ in range(3))
 
     def _learn(self) -> None:
@@ -307,6 +319,7 @@ class Encoder:
             self.score, self.gap, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.score, self.gap, self.size))
         score, gap, packed = self.lat.two_best([w.replace(" ", MARK) for w in new])
         self.packed += packed
+        self.library += [a if a == b else b for a, b in zip(packed, library_packed(self.lat.sp, new))]
         self.score[at : at + len(new)], self.gap[at : at + len(new)], self.size[at : at + len(new)] = score, gap, [len(x) for x in packed]
         self.names += new
         self.words.new = []
@@ -318,8 +331,8 @@ class Encoder:
             self.tops[k] = [int(self.score[k]) - s for s, _ in found], [self.lat.packed(p) for _, p in found]
         return self.tops[k]
 
-    def __call__(self, texts: list[str | None]) -> Iterator[tuple[float, list[float], list[bytes]]]:
-        """Best score, the n best scores, and their packed ids, of each text."""
+    def __call__(self, texts: list[str | None]) -> Iterator[tuple[float, list[float], list[bytes], bytes]]:
+        """Best score, the n best scores, their packed ids, and the library's own packed ids, of each text."""
         if len(self.words) > WORKER_CACHE:
             self._forget()
         number = self.words.__getitem__
@@ -348,7 +361,7 @@ class Encoder:
                         parts += (whole[last:a], own[c])
                         last = e
                 lists.append(b"".join([*parts, whole[last:]]) if last else whole)
-            yield best / SCALE, [(best - x) / SCALE for x, _ in sums], lists
+            yield best / SCALE, [(best - x) / SCALE for x, _ in sums], lists, b"".join(map(self.library.__getitem__, numbers))
 
 
 def decode_lists(lists: pa.ListArray, lat: Lattice, plain: tuple[pa.Array, np.ndarray]) -> list[list[str | None] | None]:
@@ -376,18 +389,20 @@ def decode_lists(lists: pa.ListArray, lat: Lattice, plain: tuple[pa.Array, np.nd
 
 
 def encode(docs: DataFrame, path: str, nbest: int = NBEST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The ``nbest`` best segmentations of every whole text.
+    """The library's encoding and the ``nbest`` best segmentations of every whole text.
 
     Returns doc_id, text (as given), best_score, nbest_scores (descending), nbest_ids (each one's
-    ids as little-endian unsigned 32-bit numbers, in the order of the scores).  Scores are sums of
+    ids as little-endian unsigned 32-bit numbers, in the order of the scores), encoded_ids (the
+    library's own encoding, in the same form).  Scores are sums of
     ``piece_scores``.  For a BPE model, the best segmentation is not always the one its
-    merges lead to; ``library_ids`` gives those.
+    merges lead to; that one is encoded_ids.
 
     No piece crosses a pre-token, so a document's lattice is the chain of its pre-tokens'
     lattices.  Workers keep the forward scores of each pre-token and what its second
-    best loses in a cache of bounded size.  A segmentation among the ``nbest`` differs from
+    best loses, and its ids by the library, in a cache of bounded size.  A segmentation among the ``nbest`` differs from
     the best one only in the ``nbest`` - 1 pre-tokens that lose least, first ones first on
-    ties; only for those the search is run, and their lists merged.
+    ties; only for those the search is run, and their lists merged.  The scores are those of a
+    search over the lattice of the whole text.
 
     Null and empty texts have one segmentation without pieces.  Ids are passed through,
     null or repeated; other columns are not read.
@@ -397,15 +412,18 @@ def encode(docs: DataFrame, path: str, nbest: int = NBEST, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path, nbest)
         for batch in batches:
-            cols = list(zip(*encoder(batch.column(1).to_pylist()))) or [[]] * 3
-            types = [pa.float64(), pa.list_(pa.float64()), pa.list_(pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(cols, types))], ["doc_id", "text", "best_score", "nbest_scores", "nbest_ids"])
+            cols = list(zip(*encoder(batch.column(1).to_pylist()))) or [[]] * 4
+            types = [pa.float64(), pa.list_(pa.float64()), pa.list_(pa.binary()), pa.binary()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(cols, types))], ["doc_id", "text", "best_score", "nbest_scores", "nbest_ids", "encoded_ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, text string, best_score double, nbest_scores array<double>, nbest_ids array<binary>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, text string, best_score double, nbest_scores array<double>, nbest_ids array<binary>, encoded_ids binary")
 
 
 def library_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text and ids (little-endian unsigned 32-bit numbers) as the library encodes every whole text; null counts as empty."""
+    """doc_id, text and ids (little-endian unsigned 32-bit numbers) as the library encodes every whole text in one piece; null counts as empty.
+
+    ``encode`` puts the same ids together from those of pre-tokens.
+    """
     small_batches(docs.sparkSession, 500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -436,12 +454,14 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "nbest_ids", out_col: s
 
 
 def segment(docs: DataFrame, path: str, nbest: int = NBEST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Digests of the ``nbest`` best segmentations of every whole text, encoded and decoded again.
+    """Digests of the library's encoding and the ``nbest`` best segmentations of every whole text, encoded and decoded again.
 
     Returns doc_id, n_pieces (ids of the best one), best_score, nbest_scores (descending),
     nbest_crc32 (crc32 of each one's ids as little-endian unsigned 32-bit numbers),
     round_trip (every one of them, decoded whole, is the text; a text that holds the
-    space mark itself comes back with spaces, as from the library).
+    space mark itself comes back with spaces, as from the library), encoded_pieces, encoded_crc32 and
+    encoded_round_trip (the same of the library's own encoding), encoded_rank (its place among the ``nbest``, from 1; null if
+    it is none of them).
 
     ``encode`` and ``decode`` in one pass over the texts, a few at a time; nulls and repeated rows as there.
     """
@@ -456,12 +476,15 @@ def segment(docs: DataFrame, path: str, nbest: int = NBEST, id_col: str = "doc_i
             found = list(encoder(texts))
             for a in range(0, len(found), 64):
                 part = found[a : a + 64]
-                decoded = decode_lists(pa.array([x[2] for x in part], pa.list_(pa.binary())), encoder.lat, plain)
-                for t, (best, scores, ids), back in zip(texts[a : a + 64], part, decoded):
-                    rows.append((len(ids[0]) // 4, best, scores, [zlib.crc32(x) for x in ids], all(x == (t or "") for x in back)))
-            cols = list(zip(*rows)) or [[]] * 5
-            types = [pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types))], ["doc_id", "n_pieces", "best_score", "nbest_scores", "nbest_crc32", "round_trip"])
-
+                decoded = decode_lists(pa.array([[*x[2], x[3]] for x in part], pa.list_(pa.binary())), encoder.lat, plain)
+                for t, (best, scores, ids, own), (*back, own_back) in zip(texts[a : a + 64], part, decoded):
+                    rank = ids.index(own) + 1 if own in ids else None
+                    rows.append((len(ids[0]) // 4, best, scores, [zlib.crc32(x) for x in ids], all(x == (t or "") for x in back), len(own) // 4, zlib.crc32(own), own_back == (t or ""), rank))
+            cols = list(zip(*rows)) or [[]] * 9
+            types = [pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.bool_(), pa.int64(), pa.int64(), pa.bool_(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types))], names)
+
+    names = ["doc_id", "n_pieces", "best_score", "nbest_scores", "nbest_crc32", "round_trip", "encoded_pieces", "encoded_crc32", "encoded_round_trip", "encoded_rank"]
+    schema = "doc_id long, n_pieces long, best_score double, nbest_scores array<double>, nbest_crc32 array<long>, round_trip boolean, encoded_pieces long, encoded_crc32 long, encoded_round_trip boolean, encoded_rank int"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_pieces long, best_score double, nbest_scores array<double>, nbest_crc32 array<long>, round_trip boolean")
+    return rows.mapInArrow(run, schema)

@@ -493,6 +493,30 @@ def test_library_ids(docs, texts):
     assert all(np.frombuffer(out[i]["ids"], "<u4").tolist() == sp.encode(t or "") for i, t in enumerate(texts))
 
 
+ODD = ["  two before", " one before", "trail ", " ", "    ", "\n", "\n \n", "a\n\nb", "▁mark ▁ ▁▁x", "\x00\x01 é\u0301", "<s> </s><unk><0x41>", "\u3000x\u200b\t\r\n", "😀😀 x"]
+
+
+def test_nbest_holds_the_library_encoding(spark, docs, texts):
+    sp, lat = tokencount.model(PIECE), nbest.lattice(PIECE)
+    both = docs.select("doc_id", "text").union(spark.createDataFrame(list(enumerate(ODD, 1000)), "doc_id long, text string"))
+    out, digests = table(nbest.encode(both, PIECE), "doc_id"), table(nbest.segment(both, PIECE), "doc_id")
+    assert len(out) == len(texts) + len(ODD)
+    for i, r in out.items():
+        want, d = sp.encode(r["text"] or ""), digests[i]
+        assert np.frombuffer(r["encoded_ids"], "<u4").tolist() == want
+        assert (d["encoded_pieces"], d["encoded_crc32"]) == (len(want), zlib.crc32(r["encoded_ids"]))
+        assert d["encoded_round_trip"] == (sp.decode(want) == (r["text"] or ""))
+        assert d["encoded_rank"] == (r["nbest_ids"].index(r["encoded_ids"]) + 1 if r["encoded_ids"] in r["nbest_ids"] else None)
+
+
+def test_nbest_is_a_search_over_the_whole_text(texts):
+    lat = nbest.lattice(PIECE)
+    some = [t for t in [*texts, *ODD] if t]
+    for t, (best, scores, ids, _) in zip(some, nbest.Encoder(PIECE, 4)(some)):
+        want = lat.top((" " + t).replace(" ", "▁"), 4)
+        assert scores == [x / nbest.SCALE for x, _ in want] and best == scores[0] and len(set(ids)) == len(ids)
+
+
 def test_nbest_ids_and_decoding(spark, docs, texts):
     lat = nbest.lattice(PIECE)
     more = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(["  two before", " one before", "▁mark", "\x00\x01 é\u0301", "    "])], "doc_id long, text string")
